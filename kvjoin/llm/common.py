@@ -48,3 +48,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{work_dir(spark)}/kvjoin-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys, for a left side on which some keys have very many rows and a right side with one row per key.
+
+    The hash of the keys is one more key. So both sides are shuffled for this join and no earlier
+    partitioning is taken over, which is what lets adaptive execution split a hot key's rows.
+    """
+    extra = fresh(left, "spread")
+    a = left.withColumn(extra, F.xxhash64(*keys))
+    b = right.withColumn(extra, F.xxhash64(*keys))
+    return a.join(b, [extra, *keys], how).drop(extra)

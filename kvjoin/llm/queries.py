@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, license_scan, line_dedup, mixing, quality
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
+    "op2_quality_rules": quality.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_mix_sources": mixing.query,
+    "op8_line_dedup": line_dedup.query,
 }
 
 ORACLES = {
+    "op1_license_scan": license_scan.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
