@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: ASCII white space 0x20, 0x09-0x0D: what bytes.split() splits at.
 SPACE = np.zeros(256, bool)
@@ -76,3 +77,8 @@ def stats(text: bytes | None) -> tuple[list[int], list[float]]:
         chars / w, np.log1p(n), len(set(words)) / w, n / max(len(lines), 1), len(lines),
     ]
     return [n, chars, symbols, dup, repeat], [float(x) for x in features]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes that are equal on every machine."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
