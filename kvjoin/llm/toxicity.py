@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled documents is indexed: its vocabulary are the terms
-that tell the classes apart (chi-squared), weighted by term frequency and by an
+(words and beginnings of words) that tell the classes apart (chi-squared), weighted by term frequency and by an
 inverse document frequency that is counted over all documents. Postings lie in
 blocks of examples with the maximum weight of each term per block; a search adds
 the maxima up to a bound for every block, visits blocks by falling bound and
@@ -26,17 +26,45 @@ from .textstats import as_bytes
 
 #: The bound of the labelled sample, per class.
 MAX_PER_CLASS = 1_500
-VOCABULARY, MIN_DF, MIN_CHI2 = 400, 3, 10.8
+VOCABULARY, MIN_DF, MIN_CHI2 = 600, 5, 30.0
+#: Besides words, their beginnings of so many bytes are terms, for inflected forms.
+STEMS = (4, 5, 6, 7)
+STEM = b"\xff"  # marks a beginning; not a byte of UTF-8
 BLOCK, K = 64, 15
 CUT = 0.3
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def terms(text: bytes | None) -> list[bytes]:
+def words(text: bytes | None) -> list[bytes]:
     """Words of letters, ASCII ones in lower case."""
     return (text or b"").translate(_TABLE).split()
 
 
+def terms_of(word: bytes) -> list[bytes]:
+    """The word and its beginnings."""
+    return [word, *(word[:k] + STEM for k in STEMS if len(word) > k)]
+
+
+class Terms:
+    """Counts a text's terms that are in the vocabulary; remembers what it knows of a word."""
+
+    def __init__(self, known: dict[bytes, int]):
+        self.known, self.of = known, {}
+
+    def count(self, text: bytes | None) -> dict[int, int]:
+        found: dict[int, int] = {}
+        of = self.of
+        for w, n in Counter(words(text)).items():
+            ids = of.get(w)
+            if ids is None:
+                if len(of) > 300_000:
+                    of.clear()
+                ids = of[w] = tuple(i for t in terms_of(w) if (i := self.known.get(t)) is not None)
+            for i in ids:
+                found[i] = found.get(i, 0) + n
+        return found
+
+
 @dataclass
 class Index:
     ids: np.ndarray  # of the examples, by position
@@ -52,6 +80,10 @@ class Index:
     silent: float = 0.0  # score of a text without any term of the vocabulary
     seen: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.terms = Terms(self.vocabulary)
+        self.names = [w.replace(STEM, b"*").decode("utf-8", "replace") for w in self.vocabulary]
+
     def query(self, counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array([c[0] for c in counts], np.int64)
         q = (1 + np.log([c[1] for c in counts])) * self.idf[t]
@@ -81,8 +113,7 @@ class Index:
 
     def score(self, text: bytes | None) -> tuple[float, list[int], list[str]]:
         """Calibrated score, ids of the three nearest examples, and the text's terms."""
-        found = Counter(i for w in terms(text) if (i := self.vocabulary.get(w)) is not None)
-        counts = tuple(sorted(found.items()))
+        counts = tuple(sorted(self.terms.count(text).items()))
         if not counts:
             return self.silent, [], []
         if counts not in self.seen:
@@ -92,8 +123,7 @@ class Index:
                 self.seen.clear()
             self.seen[counts] = (float(p) if near else self.silent, [int(self.ids[i]) for _, i in near[:3]])
         p, ids = self.seen[counts]
-        names = list(self.vocabulary)
-        return p, ids, [names[i].decode("utf-8", "replace") for i, _ in counts]
+        return p, ids, [self.names[i] for i, _ in counts]
 
 
 def vocabulary(bags: list[set[bytes]], y: np.ndarray) -> list[bytes]:
@@ -112,9 +142,9 @@ def vocabulary(bags: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     return [w for _, w in sorted(scored)[:VOCABULARY]]
 
 
-def build(ids: list[int], bags: list[Counter], y: np.ndarray, words: list[bytes], df: np.ndarray, n_docs: int, share: float) -> Index:
+def build(ids: list[int], bags: list[Counter], y: np.ndarray, telling: list[bytes], df: np.ndarray, n_docs: int, share: float) -> Index:
     """share: of toxic ones among all labelled rows; the sample's classes are weighed to it in the calibration."""
-    known = {w: i for i, w in enumerate(words)}
+    known = {w: i for i, w in enumerate(telling)}
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     blocks = max(1, -(-len(ids) // BLOCK))
     rows: list[tuple[int, int, float]] = []
@@ -126,10 +156,10 @@ def build(ids: list[int], bags: list[Counter], y: np.ndarray, words: list[bytes]
             rows += [(i, e, x) for (i, _), x in zip(own, v, strict=True)]
     rows.sort()
     term, example, weight = (np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
-    maxima = np.zeros((len(words), blocks))
+    maxima = np.zeros((len(telling), blocks))
     np.maximum.at(maxima, (term, example // BLOCK), weight)
     cell = term * (blocks + 1) + example // BLOCK
-    start = np.searchsorted(cell, np.arange(len(words) * (blocks + 1))).reshape(len(words), blocks + 1)
+    start = np.searchsorted(cell, np.arange(len(telling) * (blocks + 1))).reshape(len(telling), blocks + 1)
     index = Index(np.array(ids, np.int64), y.astype(float), known, idf, start, example, weight, maxima)
     votes, told = [], []
     for e, bag in enumerate(bags):
@@ -173,33 +203,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counted = [Counter(terms(t)) for t in as_bytes(b.column(2))]
+            counted = [Counter(t for w in words(x) for t in terms_of(w)) for x in as_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([b" ".join(c) for c in counted], pa.binary()), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], ["doc_id", "y", "w", "c"])
 
     found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(bag, "doc_id long, y int, w binary, c array<int>").limit(4 * MAX_PER_CLASS).collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["w"])))
     bags = [Counter(dict(zip(bytes(r["w"]).split(), r["c"], strict=True))) for r in found]
     y = np.array([r["y"] for r in found], int)
-    words = vocabulary([set(b) for b in bags], y)
-    df, n_docs = document_frequencies(docs, words)
-    return build([r["doc_id"] for r in found], bags, y, words, df, n_docs, sizes.get(1, 0) / max(sum(sizes.values()), 1))
+    telling = vocabulary([set(b) for b in bags], y)
+    df, n_docs = document_frequencies(docs, telling)
+    return build([r["doc_id"] for r in found], bags, y, telling, df, n_docs, sizes.get(1, 0) / max(sum(sizes.values()), 1))
 
 
-def document_frequencies(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, telling: list[bytes]) -> tuple[np.ndarray, int]:
     """Of the vocabulary's terms, over all documents."""
-    known = {w: i for i, w in enumerate(words)}
+    known = {w: i for i, w in enumerate(telling)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(known) + 1, np.int64)
+        df, of = np.zeros(len(known) + 1, np.int64), Terms(known)
         for b in batches:
             df[-1] += b.num_rows
             for t in as_bytes(b.column(0)):
-                for i in {known[w] for w in set(terms(t)) & known.keys()}:
-                    df[i] += 1
+                df[list(of.count(t))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["term", "n"])
 
     rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(words) + 1, np.int64)
+    df = np.zeros(len(telling) + 1, np.int64)
     for r in rows:
         df[r["term"]] = r["n"]
     return df[:-1].astype(float), int(df[-1])
