@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, license_scan, line_dedup, mixing, quality, substring_dedup, toxicity, warc
+from . import decontaminate, language, license_scan, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_quality_rules": quality.query,
+    "op3_near_dedup": near_dedup.query,
     "op4_language_id": language.query,
     "op5_toxicity": toxicity.query,
     "op6_decontaminate": decontaminate.query,
