@@ -207,6 +207,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
     """docs, all columns, without those that are und or whose score is below min_score."""
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -219,7 +220,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE,
                     keep[rows] = (lang != "und") & (score >= min_score)
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
