@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, hot_join, materialize, same, table, texts
@@ -29,7 +29,8 @@ from .textstats import as_bytes, window_hashes, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 #: 28 bands of 7 registers: a pair of similarity 0.8 meets with probability 0.9986, one of 0.5 with 0.2.
 BANDS, ROWS = 28, 7
-LEADERS = (1, 4, 16)  # per bucket and round; the last holds for all further rounds
+#: Leaders of a bucket in each round after the first, and comparisons a member up to which all that is left is done in one round.
+LEADERS, LINEAR = 16, 4
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -181,47 +182,60 @@ def components(edges: DataFrame) -> DataFrame:
             return at.select("v", F.col("l").alias("root"))
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) after classes that links (a, b) connects, given as labels, have become one."""
+    links = materialize(links)
+    if links.isEmpty():
+        return label
+    root = components(links).select(F.col("v").alias("label"), "root")
+    return materialize(label.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
 def classes(nodes: DataFrame) -> DataFrame:
-    """(node, label): the class of each node that has a near copy; label is a node. Others are left out."""
+    """(node, label): the class of each node that shares a bucket; label is a node. Others are left out."""
     sigs = materialize(signatures(nodes).groupBy("node").agg(F.first("keys").alias("keys")))
     bands = sigs.select("node", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(hot_join(bands, shared, ["key"]).select("key", "node"))
+    shared = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialize(hot_join(bands, shared, ["key"]).select("key", "node", "lead"))
     sets = materialize(weighted_sets(nodes, members.select("node").distinct()))
-    label = members.select("node", F.col("node").alias("label")).distinct()
-    used = tested = None
-    for turn in range(1 << 30):
-        now = hot_join(members, label, ["node"])
-        if used is not None:
-            now = now.join(used.withColumn("u", F.lit(True)), ["key", "node"], "left")
-        else:
-            now = now.withColumn("u", F.lit(None).cast("boolean"))
-        free = F.when(F.col("u").isNull(), F.col("label"))
+    # One leader for each bucket, the same one wherever it can be.
+    tested = materialize(members.where("node <> lead").select(*_pair("node", "lead")).distinct())
+    label = _joined(members.select("node", F.col("node").alias("label")).distinct(), verify(tested, sets))
+    used = members.select("key", F.col("lead").alias("node")).distinct()
+    while True:
+        now = hot_join(members.select("key", "node"), label, ["node"]).join(used.withColumn("led", F.lit(True)), ["key", "node"], "left")
+        free = F.when(F.col("led").isNull(), F.col("label"))
         # A bucket is open while two of its classes have members that never led.
         open_ = now.groupBy("key").agg(F.min(free).alias("lo"), F.max(free).alias("hi")).where("lo < hi").select("key")
         now = materialize(hot_join(now, open_, ["key"]))
-        size = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-        sized = hot_join(now.where("u IS NULL"), size, ["key", "label"])
-        seeds = LEADERS[min(turn, len(LEADERS) - 1)]
-        pick = [F.min(F.struct("size", F.xxhash64(F.lit(i), "node"), F.col("node").alias("lead"), F.col("label").alias("of"))) for i in range(seeds)]
-        leads = sized.groupBy("key").agg(F.array(*pick).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.lead", "p.of").distinct()
+        per = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("led").isNull()).alias("free"))
+        most = per.groupBy("key").agg(F.sum("size").alias("all"), F.sum("free").alias("unled"), F.max(F.struct("size", "label", "free")).alias("m"))
+        rows, work = most.agg(F.sum("all"), F.sum(F.col("all") * (F.col("unled") - F.col("m.free")))).first()
+        if not rows:
+            return label
+        last = work <= LINEAR * rows
+        if last:  # all members of all but the largest class lead: what is left is compared at once
+            small = hot_join(now.where("led IS NULL"), most.select("key", F.col("m.label").alias("large")), ["key"]).where("label <> large")
+            leads = small.select("key", F.col("node").alias("lead"), F.col("label").alias("of"))
+        else:
+            sized = hot_join(now.where("led IS NULL"), per.select("key", "label", "size"), ["key", "label"])
+            pick = [F.min(F.struct("size", F.xxhash64(F.lit(i), "node"), F.col("node").alias("lead"), F.col("label").alias("of"))) for i in range(LEADERS)]
+            leads = sized.groupBy("key").agg(F.array(*pick).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.lead", "p.of").distinct()
         leads = materialize(leads)
-        if leads.isEmpty():
-            return label.where("label IS NOT NULL")
-        pairs = hot_join(now, leads.groupBy("key").agg(F.collect_list(F.struct("lead", "of")).alias("p")), ["key"])
-        pairs = pairs.select("node", "label", F.inline("p")).where("label <> of").select(F.least("node", "lead").alias("b"), F.greatest("node", "lead").alias("a")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = hot_join(now.select("key", "node", "label"), leads, ["key"]).where("label <> of").select(*_pair("node", "lead")).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
         links = verify(pairs, sets)
         named = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        links = materialize(hot_join(hot_join(links, named[0], ["a"]), named[1], ["b"]).where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        if not links.isEmpty():
-            root = components(links).select(F.col("v").alias("label"), "root")
-            label = materialize(label.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-        tested = pairs if tested is None else materialize(tested.union(pairs))
-        led = leads.select("key", F.col("lead").alias("node"))
-        used = led if used is None else materialize(used.union(led))
+        links = hot_join(hot_join(links, named[0], ["a"]), named[1], ["b"]).where("la <> lb").select(*_pair("la", "lb")).distinct()
+        label = _joined(label, links)
+        if last:
+            return label
+        tested = materialize(tested.union(pairs))
+        used = materialize(used.union(leads.select("key", F.col("lead").alias("node"))))
 
 
 def report(docs: DataFrame) -> DataFrame:
