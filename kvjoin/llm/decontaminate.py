@@ -56,9 +56,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     for length in lengths:
         key = F.when(F.col("w_len") == length, _hash(F.col("ws"), F.lit(0), length)).otherwise(key)
     win = win.select(key.alias("w_hash"), "w_len", "w_text", "w_items")
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        win = F.broadcast(win)
-
     tokens = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("ws"))
     tokens = tokens.select("doc_id", "th", "ws", F.posexplode_outer("ws").alias("at", "word")).drop("word")
     if len(lengths) == 1:
@@ -67,11 +64,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(x).alias("len"), _hash(F.col("ws"), F.col("at"), x).alias("h")) for x in lengths])
         keyed = tokens.select("doc_id", "th", "ws", "at", F.inline(keys))
     first = (F.col("len") == lengths[0]) & (F.coalesce(F.col("at"), F.lit(0)) == 0)
-    verified = F.array_join(F.slice("ws", F.col("at") + 1, F.col("len")), " ") == F.col("w_text")
-    met = keyed.join(win, (F.col("h") == F.col("w_hash")) & (F.col("len") == F.col("w_len")) & verified, "left").where(F.col("w_hash").isNotNull() | first)
-    return met.groupBy("doc_id", "th").agg(
+    window = F.array_join(F.slice("ws", F.col("at") + 1, F.col("len")), " ")
+    on = (F.col("h") == F.col("w_hash")) & (F.col("len") == F.col("w_len"))
+    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+        met = keyed.withColumn("n_words", F.size("ws")).join(F.broadcast(win), on & (window == F.col("w_text")), "left")
+    else:  # each position is shuffled with its window's text alone; those too near the end to have one stay behind
+        near = keyed.where(F.col("h").isNotNull() | first).select("doc_id", "th", F.size("ws").alias("n_words"), "at", "len", F.coalesce("h", "th").alias("h"), window.alias("text"))
+        met = near.join(win, on & (F.col("text") == F.col("w_text")), "left")
+    return met.where(F.col("w_hash").isNotNull() | first).groupBy("doc_id", "th").agg(
         F.count_if(first).alias("n_rows"),
-        F.max(F.size("ws")).alias("n_words"),
+        F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("w_hash").isNotNull(), F.struct("at", "len", F.col("w_items").alias("items")))).alias("hits"),
     )
 
