@@ -30,7 +30,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 28 bands of 7 registers: a pair of similarity 0.8 meets with probability 0.9986, one of 0.5 with 0.2.
 BANDS, ROWS = 28, 7
 #: Leaders of a bucket in each round after the first, and comparisons a member up to which all that is left is done in one round.
-LEADERS, LINEAR = 16, 4
+LEADERS, LINEAR = 16, 32
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -169,17 +169,25 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest vertex of each vertex's component, by the smallest neighbour's label and pointer jumping; each round is written out."""
+    """(v, root): one vertex for each component, by the smallest label among neighbours, in the order of the vertices' hashes.
+
+    Leaders of buckets have the smallest hash there, so most labels arrive in the first round. From the
+    fourth round on labels are also looked up once more (pointer jumping), so that long chains take a
+    logarithmic number of rounds. Each round is written out.
+    """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    at = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")).select("v", F.least("v", "l").alias("l")))
-    while True:
-        near = hot_join(both, at.select(F.col("v").alias("b"), "l"), ["b"]).groupBy("a").agg(F.min("l").alias("m"))
-        step = at.join(near.withColumnRenamed("a", "v"), "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jump = hot_join(step, at.select(F.col("v").alias("l"), F.col("l").alias("up")), ["l"])
-        new = materialize(jump.select("v", "was", F.least("l", "up").alias("l")))
+    mark = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+    at = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min(mark("b")), F.first(mark("a"))).alias("l")))
+    for turn in range(1 << 30):
+        near = hot_join(both, at.select(F.col("v").alias("b"), "l"), ["b"]).select(F.col("a").alias("v"), "l", F.lit(None).cast(at.schema["l"].dataType).alias("was"))
+        new = near.union(at.select("v", "l", F.col("l").alias("was"))).groupBy("v").agg(F.min("l").alias("l"), F.min("was").alias("was"))
+        if turn >= 3:
+            up = at.select(F.col("v").alias("top"), F.col("l").alias("up"))
+            new = hot_join(new.withColumn("top", F.col("l.v")), up, ["top"]).select("v", F.least("l", "up").alias("l"), "was")
+        new = materialize(new)
         at = new.select("v", "l")
         if new.where("l <> was").isEmpty():
-            return at.select("v", F.col("l").alias("root"))
+            return at.select("v", F.col("l.v").alias("root"))
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
