@@ -195,15 +195,15 @@ class Prefixes:
         self.share = np.log(np.maximum(counts, 1) / total)
         self.room = np.log(group / total)
 
-    def group(self, suffixes: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Hash of the prefix and its length. suffixes: starts within words (64-bit hashes)."""
+    def group(self, suffixes: np.ndarray) -> np.ndarray:
+        """Hash of the prefix and its length. suffixes: (n, WINDOW), the low halves of the words' hashes."""
         left = np.zeros(len(suffixes))
         h = np.zeros(len(suffixes), np.uint64)
         for k in range(WINDOW):
             more = (left > self.room) | (k == 0)
             if not more.any():
                 break
-            w = words[suffixes + k]
+            w = suffixes[:, k].astype(np.uint64)
             left = np.where(more, left + self.share[(w % np.uint64(SKETCH)).astype(np.int64)], left)
             h = np.where(more, (h ^ w) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1), h)
         return h ^ (h >> np.uint64(31))
@@ -269,55 +269,60 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: int) -> DataFrame:
                 s = np.flatnonzero(np.cumsum(edge)[: len(h) - WINDOW + 1] > 0)
                 hashes.append(h)
                 starts.append(s + base)
-                docs_.append(np.full(len(s), NO_ID if doc is None else doc, np.int64))
-                keys.append(np.stack((np.full(len(s), t8, np.int64), s), 1))
+                docs_.append(np.full(len(s), len(keys), np.int64))
+                keys.append((NO_ID if doc is None else doc, t8, base))
                 base += len(h)
             if not hashes:
                 continue
-            words, s, doc, key = map(np.concatenate, (hashes, starts, docs_, keys))
+            words, s, of = map(np.concatenate, (hashes, starts, docs_))
             if not len(s):
                 continue
+            doc, key, first = np.array(keys, np.int64).T
+            start = s - first[of]
             deep = np.lib.stride_tricks.sliding_window_view((words & np.uint64(0xFFFFFFFF)).astype(np.uint32), WINDOW)[s]
             check = window_hashes(words, WINDOW)[s]
-            later, one = repeats(deep, check, doc)
-            out = [(int(abs(t8)) % parts, i, t8, x, b"", b"", b"", b"") for i, t8, x in _removed(doc[later], key[later, 0], key[later, 1])]
-            group = prefixes.group(s[one], words)
-            for p, r in _by((group % np.uint64(parts)).astype(np.int64)):
+            later, one = repeats(deep, check, doc[of])
+            out = [(abs(t8) % parts, i, t8, x, b"", b"", b"") for i, t8, x in _removed(doc[of[later]], key[of[later]], start[later])]
+            one = np.sort(one)  # by text and position, which compresses well
+            for p, r in _by((prefixes.group(deep[one]) % np.uint64(parts)).astype(np.int64)):
                 k = one[r]
-                out.append((p, None, None, None, _z(group[r]), _z(deep[k]), _z(check[k]), _z(np.concatenate((doc[k, None], key[k]), 1))))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "doc_id", "t8", "starts", "g", "s", "c", "d"])
+                own, index = np.unique(of[k], return_inverse=True)
+                at = np.stack((index, start[k]), 1).astype(np.uint32)
+                out.append((p, None, None, _z(np.stack((doc[own], key[own]), 1)), _z(deep[k]), _z(check[k]), _z(at)))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "doc_id", "t8", "starts", "s", "c", "at"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.binary())
         make = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "t8", "starts"])
-        gs, ss, cs, ds = [], [], [], []
+        ss, cs, ds, ats = [], [], [], []
         for b in batches:
             out = []
-            for _, doc, t8, starts, g, s, c, d in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for _, doc, t8, starts, s, c, at in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if t8 is not None:
                     out.append((doc, t8, starts))
                 else:
-                    gs.append(_u(g, np.uint64))
+                    both = _u(at, np.uint32, 2)
                     ss.append(_u(s, np.uint32, WINDOW))
                     cs.append(_u(c, np.uint64))
-                    ds.append(_u(d, np.int64, 3))
+                    ds.append(_u(starts, np.int64, 2)[both[:, 0]])
+                    ats.append(both[:, 1])
             if out:
                 yield make(out)
-        if not gs:
+        if not ss:
             return
-        g, s, c, d = map(np.concatenate, (gs, ss, cs, ds))
-        gs, ss, cs, ds = [], [], [], []
+        s, c, d, at = map(np.concatenate, (ss, cs, ds, ats))
+        ss, cs, ds, ats = [], [], [], []
         found = []
-        for _, r in _by(g.view(np.int64)):  # a subtree for each prefix
+        for _, r in _by(prefixes.group(s).view(np.int64)):  # a subtree for each prefix
             later, _ = repeats(s[r], c[r], d[r, 0])
             found.append(r[later])
         later = np.concatenate(found)
-        out = _removed(d[later, 0], d[later, 1], d[later, 2])
+        out = _removed(d[later, 0], d[later, 1], at[later])
         for k in range(0, len(out), 5000):
             yield make(out[k : k + 5000])
 
-    sent = docs.mapInArrow(combine, "part int, doc_id long, t8 long, starts binary, g binary, s binary, c binary, d binary")
+    sent = docs.mapInArrow(combine, "part int, doc_id long, t8 long, starts binary, s binary, c binary, at binary")
     found = sent.repartition("part").mapInArrow(trees, "doc_id long, t8 long, starts binary")
     return found.groupBy("doc_id", "t8").agg(F.collect_list("starts").alias("starts"))
 
@@ -343,7 +348,9 @@ def find(docs: DataFrame) -> DataFrame:
     # One row for each text: its own document's id and its anchors.
     known = own.join(near.withColumnRenamed("t8", "k8"), F.col("t8") == F.col("k8"), "left").select("t8", "md", "first", "ats")
     me = hot_join(d, known, ["t8", "md"])
-    mine = me.where(same(F.col("doc_id"), F.col("first")) & F.col("ats").isNotNull()).select("doc_id", "t8", "text", "ats")
+    # Equality as a difference, which the planner doesn't take for one more join key: both joins with d then share its exchange.
+    apart = F.coalesce("doc_id", F.lit(NO_ID)).bitwiseXOR(F.coalesce("first", F.lit(NO_ID)))
+    mine = me.where((apart == 0) & F.col("ats").isNotNull()).select("doc_id", "t8", "text", "ats")
     gone = later_repeats(mine, prefixes, parts).withColumnsRenamed({"doc_id": "g_id", "t8": "g8"})
     told = own.join(gone, same(F.col("first"), F.col("g_id")) & (F.col("t8") == F.col("g8")), "left").select("t8", "md", "first", "starts")
     copy = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
