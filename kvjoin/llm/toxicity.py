@@ -46,22 +46,20 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 class Terms:
-    """Counts a text's terms that are in the vocabulary; remembers what it knows of a word."""
+    """Counts a text's terms that are in the vocabulary. Most words are done with after a look at their first bytes."""
 
     def __init__(self, known: dict[bytes, int]):
-        self.known, self.of = known, {}
+        self.known = known
+        self.heads = {t[: STEMS[0]] for t in known}
 
     def count(self, text: bytes | None) -> dict[int, int]:
         found: dict[int, int] = {}
-        of = self.of
+        heads, first = self.heads, STEMS[0]
         for w, n in Counter(words(text)).items():
-            ids = of.get(w)
-            if ids is None:
-                if len(of) > 300_000:
-                    of.clear()
-                ids = of[w] = tuple(i for t in terms_of(w) if (i := self.known.get(t)) is not None)
-            for i in ids:
-                found[i] = found.get(i, 0) + n
+            if w[:first] in heads:
+                for t in terms_of(w):
+                    if (i := self.known.get(t)) is not None:
+                        found[i] = found.get(i, 0) + n
         return found
 
 
@@ -127,19 +125,23 @@ class Index:
 
 
 def vocabulary(bags: list[set[bytes]], y: np.ndarray) -> list[bytes]:
-    """Terms of at least MIN_DF examples whose chi-squared against the label is MIN_CHI2 at least, the VOCABULARY highest."""
+    """Terms of at least MIN_DF examples whose chi-squared against the label is MIN_CHI2 at least, the VOCABULARY highest.
+
+    Of a word and its beginnings that are in as many examples of either class, the shortest stands for all.
+    """
     n, pos = len(y), y.sum()
     a, b = Counter(), Counter()
     for bag, toxic in zip(bags, y, strict=True):
         (a if toxic else b).update(bag)
-    scored = []
+    scored: dict[tuple, tuple] = {}
     for w in set(a) | set(b):
         df = a[w] + b[w]
         if df >= MIN_DF and df < n and 0 < pos < n:
             chi2 = n * (a[w] * (n - pos - b[w]) - b[w] * (pos - a[w])) ** 2 / (df * (n - df) * pos * (n - pos))
             if chi2 >= MIN_CHI2:
-                scored.append((-chi2, w))
-    return [w for _, w in sorted(scored)[:VOCABULARY]]
+                same = (w[: STEMS[0]], a[w], b[w])
+                scored[same] = min(scored.get(same, (99, b"", 0.0)), (len(w), w, -chi2))
+    return [w for _, w, _ in sorted(scored.values(), key=lambda x: (x[2], x[1]))[:VOCABULARY]]
 
 
 def build(ids: list[int], bags: list[Counter], y: np.ndarray, telling: list[bytes], df: np.ndarray, n_docs: int, share: float) -> Index:
