@@ -3,9 +3,9 @@
 A window is WINDOW consecutive words. A word goes if a window that covers it also
 starts in a document with a smaller id.
 
-1. anchors: of every window, the smallest hash of PART consecutive words is
-   selected, so windows that repeat elsewhere have an anchor that repeats in another
-   text. Only suffixes around repeated anchors can begin a repeat; all others are
+1. anchors: each window's anchor is its run of PART consecutive words with the smallest
+   hash, so a window that repeats elsewhere has an anchor that repeats in another
+   text. Only windows whose anchor does so can be repeats; all other suffixes are
    left out without loss. Equal whole texts count as one text here.
 2. suffixes: those suffixes, WINDOW words deep, are dealt out by a prefix whose length
    varies: as many words as it takes for the estimated number of suffixes with
@@ -40,7 +40,7 @@ WINDOW, PART = 13, 7
 GROUP, BLOCK_WORDS = 1_000_000, 3_000_000
 SKETCH = 4096
 NO_ID = np.iinfo(np.int64).max
-_LOW48 = np.uint64((1 << 48) - 1)
+_LOW48, _LOW24 = np.uint64((1 << 48) - 1), np.uint64((1 << 24) - 1)
 
 
 def _z(a: np.ndarray) -> bytes:
@@ -58,26 +58,44 @@ def _u(b: bytes, kind: type, width: int = 0) -> np.ndarray:
     return out.reshape(-1, width) if width else out.reshape(-1)
 
 
-def anchors_of(words: np.ndarray, window: int = WINDOW, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the selected runs of part words: the leftmost minimum of each window."""
+def _three(words: np.ndarray) -> np.ndarray:
+    """Rows of words below 2**24 as three bytes each."""
+    return np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(len(words), -1, 4)[:, :, :3]).reshape(len(words), -1)
+
+
+def _four(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), rows.shape[1] // 3, 4), np.uint8)
+    out[:, :, :3] = rows.reshape(len(rows), -1, 3)
+    return out.view("<u4").reshape(len(rows), -1)
+
+
+def even_parts(spark: SparkSession) -> np.ndarray:
+    """A number for each shuffle partition that Spark's hash partitioning sends there, so that as many parts as partitions are dealt evenly."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to = spark.range(16 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), F.col("id").cast("int").alias("id")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    out = np.arange(n, dtype=np.int64)
+    for r in to:
+        out[r["p"]] = r["id"]
+    return out
+
+
+def anchor_of_windows(words: np.ndarray, window: int = WINDOW, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its anchor's position, the leftmost minimum of the hashes of its runs of part words; and those hashes by position."""
     h = window_hashes(words, part)
     n = window - part + 1
     if len(h) < n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at = np.lib.stride_tricks.sliding_window_view(h, n).argmin(1) + np.arange(len(h) - n + 1)
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    at = np.unique(at)
-    return at, h[at]
+        return np.empty(0, np.int64), h
+    return np.lib.stride_tricks.sliding_window_view(h, n).argmin(1) + np.arange(len(h) - n + 1), h
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int) -> Iterator[list[tuple]]:
-    """Rows of the batches, the text split into words, in lists of about `most` words."""
+    """Rows of the batches, with the hashes of the text's words for the text, in lists of about `most` words."""
     rows, n = [], 0
     for whole in batches:
-        for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+        for b in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
             cols = [as_bytes(c) if k == text_at else c.to_pylist() for k, c in enumerate(b.columns)]
             for row in zip(*cols, strict=True):
-                words = (row[text_at] or b"").split()
+                words = word_hashes((row[text_at] or b"").split())
                 rows.append((*row[:text_at], words, *row[text_at + 1 :]))
                 n += len(words)
                 if n >= most:
@@ -103,7 +121,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SKETCH, np.int64)
         for rows in _blocks(batches, 0, BLOCK_WORDS):
             for (words,) in rows:
-                total += np.bincount((word_hashes(words) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                total += np.bincount((words % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH)), pa.array(total)], ["bucket", "n"])
 
     got = np.zeros(SKETCH, np.int64)
@@ -112,7 +130,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return got
 
 
-def repeated_anchors(docs: DataFrame, parts: int, window: int = WINDOW, part: int = PART) -> DataFrame:
+def repeated_anchors(docs: DataFrame, parts: np.ndarray, window: int = WINDOW, part: int = PART) -> DataFrame:
     """(t8, ats): where anchors of the text with hash t8 start that another text has too. docs: (t8, text)."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +140,10 @@ def repeated_anchors(docs: DataFrame, parts: int, window: int = WINDOW, part: in
                 if t8 in seen:
                     continue
                 seen.add(t8)
-                at, h = anchors_of(word_hashes(words), window, part)
+                at, h = anchor_of_windows(words, window, part)
                 if len(at):
-                    hs.append(h & _LOW48)
+                    at = np.unique(at)
+                    hs.append(h[at] & _LOW48)
                     ats.append(at.astype(np.uint32))
                     ds.append(np.full(len(at), len(keys), np.uint32))
                     keys.append(t8)
@@ -141,12 +160,12 @@ def repeated_anchors(docs: DataFrame, parts: int, window: int = WINDOW, part: in
             out: list[tuple[int, int, bytes, bytes, bytes]] = []
             for doc, r in _by(np.where(shared, d.astype(np.int64), NO_ID)):
                 if doc != NO_ID:
-                    out.append((int(h[r[0]] % np.uint64(parts)), int(key[doc]), _z(at[r]), b"", b""))
+                    out.append((int(parts[int(h[r[0]]) % len(parts)]), int(key[doc]), _z(at[r]), b"", b""))
             send = np.where(shared, new, True)
             h, at, d = h[send], at[send], d[send]
             order = np.lexsort((at, d))
             h, at, d = h[order], at[order], d[order]
-            for p, r in _by((h % np.uint64(parts)).astype(np.int64)):
+            for p, r in _by(parts[(h % np.uint64(len(parts))).astype(np.int64)]):
                 six = np.ascontiguousarray(h[r].view(np.uint8).reshape(-1, 8)[:, :6])
                 own, index = np.unique(d[r], return_inverse=True)
                 out.append((p, None, _z(at[r]), _z(six), _z(np.concatenate((key[own], index.astype(np.int64), [len(own)])))))
@@ -196,7 +215,7 @@ class Prefixes:
         self.room = np.log(group / total)
 
     def group(self, suffixes: np.ndarray) -> np.ndarray:
-        """Hash of the prefix and its length. suffixes: (n, WINDOW), the low halves of the words' hashes."""
+        """Hash of the prefix and its length. suffixes: (n, WINDOW), the low bits of the words' hashes."""
         left = np.zeros(len(suffixes))
         h = np.zeros(len(suffixes), np.uint64)
         for k in range(WINDOW):
@@ -213,7 +232,7 @@ class Tree:
     """Suffix tree of the given suffixes, cut at WINDOW words: suffixes in sorted order and the longest common prefix, in words, of each with the one before it. An inner node of depth n is a longest run of suffixes whose common prefixes are n at least."""
 
     def __init__(self, suffixes: np.ndarray, check: np.ndarray):
-        """suffixes: (n, WINDOW) 32-bit words; check: 64-bit hash of the same words, so that equal words are equal beyond doubt."""
+        """suffixes: (n, WINDOW), 24 bits of each word's hash; check: 64-bit hash of the words' whole hashes, which tells suffixes of depth WINDOW apart."""
         both = np.concatenate((suffixes, check.view(np.uint32).reshape(-1, 2)), 1)
         rows = np.ascontiguousarray(both).view(np.dtype((np.void, both.shape[1] * 4))).reshape(-1)
         self.order = np.argsort(rows)
@@ -252,21 +271,18 @@ def _removed(doc: np.ndarray, t8: np.ndarray, start: np.ndarray) -> list[tuple[i
     return out
 
 
-def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: int) -> DataFrame:
+def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: np.ndarray) -> DataFrame:
     """(doc_id, t8, starts): windows whose words also start in a document with a smaller id. docs: (doc_id, t8, text, ats), a row per text."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, 2, BLOCK_WORDS // 4):
+        for rows in _blocks(batches, 2, BLOCK_WORDS):
             hashes, starts, docs_, keys, base = [], [], [], [], 0
-            for doc, t8, words, ats in rows:
-                h = word_hashes(words)
+            for doc, t8, h, ats in rows:
                 if len(h) < WINDOW or not ats:
                     continue
-                at = np.concatenate([np.frombuffer(a, np.int32) for a in ats]).astype(np.int64)
-                edge = np.zeros(len(h) + WINDOW + 1, np.int64)  # starts of windows that hold an anchor
-                np.add.at(edge, np.maximum(at - (WINDOW - PART), 0), 1)
-                np.add.at(edge, at + 1, -1)
-                s = np.flatnonzero(np.cumsum(edge)[: len(h) - WINDOW + 1] > 0)
+                repeated = np.zeros(len(h), bool)
+                repeated[np.concatenate([np.frombuffer(a, np.int32) for a in ats])] = True
+                s = np.flatnonzero(repeated[anchor_of_windows(h)[0]])  # windows whose own anchor repeats
                 hashes.append(h)
                 starts.append(s + base)
                 docs_.append(np.full(len(s), len(keys), np.int64))
@@ -279,16 +295,16 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: int) -> DataFrame:
                 continue
             doc, key, first = np.array(keys, np.int64).T
             start = s - first[of]
-            deep = np.lib.stride_tricks.sliding_window_view((words & np.uint64(0xFFFFFFFF)).astype(np.uint32), WINDOW)[s]
+            deep = np.lib.stride_tricks.sliding_window_view((words & _LOW24).astype(np.uint32), WINDOW)[s]
             check = window_hashes(words, WINDOW)[s]
             later, one = repeats(deep, check, doc[of])
-            out = [(abs(t8) % parts, i, t8, x, b"", b"", b"") for i, t8, x in _removed(doc[of[later]], key[of[later]], start[later])]
+            out = [(int(parts[t8 % len(parts)]), i, t8, x, b"", b"", b"") for i, t8, x in _removed(doc[of[later]], key[of[later]], start[later])]
             one = np.sort(one)  # by text and position, which compresses well
-            for p, r in _by((prefixes.group(deep[one]) % np.uint64(parts)).astype(np.int64)):
+            for p, r in _by(parts[(prefixes.group(deep[one]) % np.uint64(len(parts))).astype(np.int64)]):
                 k = one[r]
                 own, index = np.unique(of[k], return_inverse=True)
                 at = np.stack((index, start[k]), 1).astype(np.uint32)
-                out.append((p, None, None, _z(np.stack((doc[own], key[own]), 1)), _z(deep[k]), _z(check[k]), _z(at)))
+                out.append((p, None, None, _z(np.stack((doc[own], key[own]), 1)), _z(_three(deep[k])), _z(check[k]), _z(at)))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "doc_id", "t8", "starts", "s", "c", "at"])
 
@@ -303,7 +319,7 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: int) -> DataFrame:
                     out.append((doc, t8, starts))
                 else:
                     both = _u(at, np.uint32, 2)
-                    ss.append(_u(s, np.uint32, WINDOW))
+                    ss.append(_four(_u(s, np.uint8, 3 * WINDOW)))
                     cs.append(_u(c, np.uint64))
                     ds.append(_u(starts, np.int64, 2)[both[:, 0]])
                     ats.append(both[:, 1])
@@ -339,8 +355,7 @@ def covered(n: int, starts: list[bytes] | None) -> np.ndarray:
 
 def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with copy (an equal text has a smaller id) and starts (windows to remove)."""
-    spark = docs.sparkSession
-    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = even_parts(docs.sparkSession)
     d = docs.withColumn("t8", F.xxhash64("text")).withColumn("md", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     prefixes = Prefixes(word_counts(docs))
     own = d.groupBy("t8", "md").agg(F.min("doc_id").alias("first"))
