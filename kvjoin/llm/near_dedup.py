@@ -7,8 +7,8 @@ as soon as its next arrival comes after the latest register: early termination.
 Two texts agree in a register with the probability Jaccard similarity of their weights.
 
 Registers are banded; texts that meet in a band are candidates. Equal texts are one
-node from the start. Within a bucket, a leader is verified against the members of
-other classes (exact probability Jaccard, or Jaccard of the sets, of SIMILARITY at
+node from the start. Within a bucket, a leader (first the text that meets most
+others, mostly the original of its copies) is verified against the members of other classes (exact probability Jaccard, or Jaccard of the sets, of SIMILARITY at
 least), classes are joined, and new leaders follow from the smaller classes until
 in no bucket two classes have members that were not compared. So a bucket of g
 near copies takes g comparisons, and still no link between classes is lost.
@@ -171,8 +171,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): one vertex for each component, by the smallest label among neighbours, in the order of the vertices' hashes.
 
-    Leaders of buckets have the smallest hash there, so most labels arrive in the first round. From the
-    fourth round on labels are also looked up once more (pointer jumping), so that long chains take a
+    Links go to a few leaders, so most labels arrive in the first rounds. From the fourth round on labels are also looked up once more (pointer jumping), so that long chains take a
     logarithmic number of rounds. Each round is written out.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
@@ -207,15 +206,21 @@ def classes(nodes: DataFrame) -> DataFrame:
     """(node, label): the class of each node that shares a bucket; label is a node. Others are left out."""
     sigs = materialize(signatures(nodes).groupBy("node").agg(F.first("keys").alias("keys")))
     bands = sigs.select("node", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialize(hot_join(bands, shared, ["key"]).select("key", "node", "lead"))
-    sets = materialize(weighted_sets(nodes, members.select("node").distinct()))
-    # One leader for each bucket, the same one wherever it can be.
-    tested = materialize(members.where("node <> lead").select(*_pair("node", "lead")).distinct())
-    label = _joined(members.select("node", F.col("node").alias("label")).distinct(), verify(tested, sets))
-    used = members.select("key", F.col("lead").alias("node")).distinct()
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = materialize(hot_join(bands, shared, ["key"]).select("key", "node", "n"))
+    # How many others a text meets in all its buckets: an original meets more than its copies, each of which has left some.
+    met = held.groupBy("node").agg(F.sum("n").alias("met"))
+    members = materialize(hot_join(held.select("key", "node"), met, ["node"]).select("key", "node", "met"))
+    sets = materialize(weighted_sets(nodes, met.select("node")))
+    # One leader for each bucket: the text that meets most others, so the same one wherever it can be.
+    best = F.max(F.struct("met", F.xxhash64("node"), "node"))["node"].alias("lead")
+    lead = materialize(members.groupBy("key").agg(best))
+    tested = hot_join(members.select("key", "node"), lead, ["key"]).where("node <> lead").select(*_pair("node", "lead")).distinct()
+    tested = materialize(tested)
+    label = _joined(met.select("node", F.col("node").alias("label")), verify(tested, sets))
+    used = lead.select("key", F.col("lead").alias("node"))
     while True:
-        now = hot_join(members.select("key", "node"), label, ["node"]).join(used.withColumn("led", F.lit(True)), ["key", "node"], "left")
+        now = hot_join(members, label, ["node"]).join(used.withColumn("led", F.lit(True)), ["key", "node"], "left")
         free = F.when(F.col("led").isNull(), F.col("label"))
         # A bucket is open while two of its classes have members that never led.
         open_ = now.groupBy("key").agg(F.min(free).alias("lo"), F.max(free).alias("hi")).where("lo < hi").select("key")
@@ -231,8 +236,8 @@ def classes(nodes: DataFrame) -> DataFrame:
             leads = small.select("key", F.col("node").alias("lead"), F.col("label").alias("of"))
         else:
             sized = hot_join(now.where("led IS NULL"), per.select("key", "label", "size"), ["key", "label"])
-            pick = [F.min(F.struct("size", F.xxhash64(F.lit(i), "node"), F.col("node").alias("lead"), F.col("label").alias("of"))) for i in range(LEADERS)]
-            leads = sized.groupBy("key").agg(F.array(*pick).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.lead", "p.of").distinct()
+            pick = [F.min(F.struct("size" if i else -F.col("met"), F.xxhash64(F.lit(i), "node"), F.col("node").alias("lead"), F.col("label").alias("of"))) for i in range(LEADERS)]
+            leads = sized.groupBy("key").agg(F.array(*[F.struct(p["lead"].alias("lead"), p["of"].alias("of")) for p in pick]).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.lead", "p.of").distinct()
         leads = materialize(leads)
         pairs = hot_join(now.select("key", "node", "label"), leads, ["key"]).where("label <> of").select(*_pair("node", "lead")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
