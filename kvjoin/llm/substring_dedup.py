@@ -114,6 +114,36 @@ def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[rows[0]]), rows
 
 
+def _packed(rows: list[tuple[int | None, int, bytes]], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, t8, positions) as one row for each part that t8 belongs to, so that tasks exchange parts and not documents."""
+    if not rows:
+        return
+    key = np.array([(NO_ID if d is None else d, t) for d, t, _ in rows], np.int64)
+    out = []
+    for p, r in _by(parts[key[:, 1] % len(parts)]):
+        at = [np.frombuffer(rows[i][2], np.int32) for i in r]
+        out.append((p, _z(key[r]), _z(np.array([len(x) for x in at], np.uint32)), _z(np.concatenate(at))))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "d", "n", "at"])
+
+
+def _gathered(packed: DataFrame) -> DataFrame:
+    """(doc_id, t8, at): one row for each (doc_id, t8), with all its positions."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ds, ats = [], []
+        for b in batches:
+            for d, n, at in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                ds.append(np.repeat(_u(d, np.int64, 2), _u(n, np.uint32), axis=0))
+                ats.append(_u(at, np.int32))
+        if ds:
+            d = np.concatenate(ds)
+            out = _removed(d[:, 0], d[:, 1], np.concatenate(ats))
+            for k in range(0, len(out), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 5000], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "t8", "at"])
+
+    return packed.repartition("part").mapInArrow(merge, "doc_id long, t8 long, at binary")
+
+
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Words by hash bucket, SKETCH of them, over all documents."""
 
@@ -172,12 +202,11 @@ def repeated_anchors(docs: DataFrame, parts: np.ndarray, window: int = WINDOW, p
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "t8", "at", "h", "d"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ats, ts = [], [], []
+        hs, ats, ts, out = [], [], [], []
         for b in batches:
-            out = []
             for _, t8, at, h, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t8 is not None:
-                    out.append((t8, _u(at, np.uint32).astype(np.int32).tobytes()))
+                    out.append((None, t8, _u(at, np.uint32).astype(np.int32).tobytes()))
                     continue
                 six = _u(h, np.uint8, 6)
                 eight = np.zeros((len(six), 8), np.uint8)
@@ -187,9 +216,8 @@ def repeated_anchors(docs: DataFrame, parts: np.ndarray, window: int = WINDOW, p
                 both = _u(d, np.int64)
                 n = both[-1]
                 ts.append(both[:n][both[n:-1]])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["t8", "at"])
         if not hs:
+            yield from _packed(out, parts)
             return
         h, at, t = map(np.concatenate, (hs, ats, ts))
         hs, ats, ts = [], [], []
@@ -198,12 +226,10 @@ def repeated_anchors(docs: DataFrame, parts: np.ndarray, window: int = WINDOW, p
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         shared = np.repeat(np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first), np.diff(np.append(first, len(h))))
         at, t = at[shared], t[shared]
-        out = [(t8, at[r].tobytes()) for t8, r in _by(t)]
-        for k in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[k : k + 5000]], pa.int64()), pa.array([x[1] for x in out[k : k + 5000]], pa.binary())], ["t8", "at"])
+        yield from _packed(out + [(None, t8, at[r].tobytes()) for t8, r in _by(t)], parts)
 
     sent = docs.select("t8", "text").mapInArrow(select, "part int, t8 long, at binary, h binary, d binary")
-    return sent.repartition("part").mapInArrow(meet, "t8 long, at binary").groupBy("t8").agg(F.collect_list("at").alias("ats"))
+    return _gathered(sent.repartition("part").mapInArrow(meet, "part int, d binary, n binary, at binary")).select("t8", F.array("at").alias("ats"))
 
 
 class Prefixes:
@@ -309,11 +335,8 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: np.ndarray) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "doc_id", "t8", "starts", "s", "c", "at"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.binary())
-        make = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "t8", "starts"])
-        ss, cs, ds, ats = [], [], [], []
+        ss, cs, ds, ats, out = [], [], [], [], []
         for b in batches:
-            out = []
             for _, doc, t8, starts, s, c, at in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if t8 is not None:
                     out.append((doc, t8, starts))
@@ -323,9 +346,8 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: np.ndarray) -> Dat
                     cs.append(_u(c, np.uint64))
                     ds.append(_u(starts, np.int64, 2)[both[:, 0]])
                     ats.append(both[:, 1])
-            if out:
-                yield make(out)
         if not ss:
+            yield from _packed(out, parts)
             return
         s, c, d, at = map(np.concatenate, (ss, cs, ds, ats))
         ss, cs, ds, ats = [], [], [], []
@@ -334,13 +356,11 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: np.ndarray) -> Dat
             later, _ = repeats(s[r], c[r], d[r, 0])
             found.append(r[later])
         later = np.concatenate(found)
-        out = _removed(d[later, 0], d[later, 1], at[later])
-        for k in range(0, len(out), 5000):
-            yield make(out[k : k + 5000])
+        yield from _packed(out + _removed(d[later, 0], d[later, 1], at[later]), parts)
 
     sent = docs.mapInArrow(combine, "part int, doc_id long, t8 long, starts binary, s binary, c binary, at binary")
-    found = sent.repartition("part").mapInArrow(trees, "doc_id long, t8 long, starts binary")
-    return found.groupBy("doc_id", "t8").agg(F.collect_list("starts").alias("starts"))
+    found = sent.repartition("part").mapInArrow(trees, "part int, d binary, n binary, at binary")
+    return _gathered(found).select("doc_id", "t8", F.array("at").alias("starts"))
 
 
 def covered(n: int, starts: list[bytes] | None) -> np.ndarray:
