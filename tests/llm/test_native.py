@@ -106,6 +106,14 @@ def test_licenses(spark, edge, edge_rows, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_every_license_rule(spark):
+    """Each rule's own sentences, put together, give its licence; also those with a break of sentences inside."""
+    s = license_scan.SENTENCES
+    docs = [(2 * i + k, sep.join(s[x] for x in ids)) for i, (_, ids) in enumerate(license_scan.RULES) for k, sep in enumerate(("\n", "\n\n"))]
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["n_known"], r["n_matches"], r["unmatched"]) for r in got] == [(name, len(ids), 1, "") for name, ids in license_scan.RULES for _ in range(2)]
+
+
 # Mixing
 def brute_mix(docs, weights, seed=mixing.SEED):
     n = Counter(s for _, s in docs)
