@@ -8,8 +8,6 @@ first (the longer ones) win. Everything is an expression of one row: no shuffle.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,23 +82,19 @@ def sentences(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), "")
 
 
-def pieces(sentence: str) -> list[str]:
-    """A sentence as sentences() gives it."""
-    return [x for s in re.sub(END, "\\1\n", sentence).split("\n") if (x := normal(s))]
-
-
-def found(ss: Column, known: dict[str, str]) -> Column:
+def found(ss: Column, known: list[str]) -> Column:
     """Known sentences, normalised, in the order of the document's: each from the start of a piece to the end of one, the longest that is there."""
-    forms = sorted({"\n".join(p) for s in known.values() if (p := pieces(s))}, key=lambda x: (-len(x), x))
+    forms = "|".join(s.replace(" ", "[ \n]") for s in sorted(known, key=lambda s: (-len(s), s)))
     text = F.concat(F.lit("\n"), F.array_join(ss, "\n"), F.lit("\n"))
-    return F.transform(F.regexp_extract_all(text, F.lit(f"\n({'|'.join(forms) or '(?!)'})(?=\n)"), F.lit(1)), lambda x: F.translate(x, "\n", " "))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"\n({forms or '(?!)'})(?=\n)"), F.lit(1)), lambda x: F.translate(x, "\n", " "))
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_sentences, n_known, n_matches, licenses (distinct, in order of the rules), unmatched (known sentences that no rule took, as <id>).
 
-    A known sentence may hold breaks of sentences: it is found where the document's pieces, put together,
-    are its own pieces, and counts once in n_known; n_sentences counts the pieces.
+    A known sentence may be one piece of the document or several that follow each other, so it may be
+    wrapped, with comment marks, or hold breaks of sentences or blank lines (as the Apache header does
+    before its URL). It counts once in n_known; n_sentences counts the pieces.
     Unknown sentences between known ones don't break a rule's sequence. Null and empty texts have
     no sentences and no licences. Repeated rows and null ids each get their row.
     """
@@ -108,7 +102,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
     ids = {normal(s): k for k, s in known.items() if normal(s)}
     lookup = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
     d = texts(docs, id_col, text_col).select("doc_id", sentences(F.col("text")).alias("ss"))
-    d = d.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), found(F.col("ss"), known).alias("kk"))
+    d = d.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), found(F.col("ss"), list(ids)).alias("kk"))
     d = d.withColumn("seq", F.array_join(F.transform("kk", lambda s: F.concat(F.lit("<"), F.element_at(lookup, s), F.lit(">"))), ""))
     table_ = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in seq)).alias("pattern")) for name, seq in rules])
     start = F.struct(F.col("seq").alias("seq"), F.array().cast("array<string>").alias("names"), F.lit(0).cast("long").alias("n"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -114,6 +115,20 @@ def test_every_license_rule(spark):
     assert [(r["licenses"], r["n_known"], r["n_matches"], r["unmatched"]) for r in got] == [(name, len(ids), 1, "") for name, ids in license_scan.RULES for _ in range(2)]
 
 
+@pytest.mark.parametrize("mark, end", [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("    ", "\n")])
+def test_wrapped_licenses(spark, mark, end):
+    s, rules = license_scan.SENTENCES, license_scan.RULES
+    docs = []
+    for i, (_, ids) in enumerate(rules):
+        for width in (30, 50, 72):
+            notice = "".join(mark + x + end for k in ids for x in textwrap.wrap(s[k], width, break_long_words=False, break_on_hyphens=False))
+            docs.append((i, f"{mark}Copyright 2020 A. Person{end}{mark}{end}{notice}{mark}{end}import this{end}"))
+    header = "Licensed under the Apache License, Version 2.0 (the \"License\");|you may not use this file except in compliance with the License.|You may obtain a copy of the License at||    http://www.apache.org/licenses/LICENSE-2.0||Unless required by applicable law or agreed to in writing, software|distributed under the License is distributed on an \"AS IS\" BASIS,|WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.|See the License for the specific language governing permissions and|limitations under the License."
+    docs.append((0, "".join(mark + x + end for x in header.split("|"))))
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["licenses"], r["n_known"], r["n_matches"], r["unmatched"]) for r in got) == Counter((i, rules[i][0], len(rules[i][1]), 1, "") for i, _ in docs)
+
+
 # Mixing
 def brute_mix(docs, weights, seed=mixing.SEED):
     n = Counter(s for _, s in docs)
