@@ -1,16 +1,18 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of labelled documents is indexed: its vocabulary are the terms
-(words and beginnings of words) that tell the classes apart (chi-squared), weighted by term frequency and by an
-inverse document frequency that is counted over all documents. Postings lie in
+A bounded sample of labelled documents is indexed by all its terms (words and
+beginnings of words), weighted by term frequency, by an inverse document frequency
+that is counted over all documents, and by how well the term tells the classes
+apart (chi-squared; no term weighs nothing). Postings lie in
 blocks of examples with the maximum weight of each term per block; a search adds
-the maxima up to a bound for every block, visits blocks by falling bound and
+the maxima up to a bound for every block, visits blocks by falling bound, ever more at once, and
 stops when no block can beat the k-th best: the exact cosine top k. Votes are
 weighted by similarity and calibrated on the examples, each left out in turn.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +28,10 @@ from .textstats import as_bytes
 
 #: The bound of the labelled sample, per class.
 MAX_PER_CLASS = 1_500
-VOCABULARY, MIN_DF, MIN_CHI2 = 600, 5, 30.0
+#: Telling terms: of so many examples, and of such a chi-squared; at that a term has half of the weight by class. FLOOR: of the other half, for any term.
+MIN_DF, MIN_CHI2, FLOOR = 5, 30.0, 0.01
+#: Terms whose document frequencies travel as one row.
+CHUNK = 4096
 #: Besides words, their beginnings of so many bytes are terms, for inflected forms.
 STEMS = (4, 5, 6, 7)
 STEM = b"\xff"  # marks a beginning; not a byte of UTF-8
@@ -46,20 +51,18 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 class Terms:
-    """Counts a text's terms that are in the vocabulary. Most words are done with after a look at their first bytes."""
+    """Counts a text's terms that are in the vocabulary."""
 
     def __init__(self, known: dict[bytes, int]):
         self.known = known
-        self.heads = {t[: STEMS[0]] for t in known}
 
     def count(self, text: bytes | None) -> dict[int, int]:
         found: dict[int, int] = {}
-        heads, first = self.heads, STEMS[0]
+        known = self.known
         for w, n in Counter(words(text)).items():
-            if w[:first] in heads:
-                for t in terms_of(w):
-                    if (i := self.known.get(t)) is not None:
-                        found[i] = found.get(i, 0) + n
+            for t in terms_of(w):
+                if (i := known.get(t)) is not None:
+                    found[i] = found.get(i, 0) + n
         return found
 
 
@@ -68,19 +71,36 @@ class Index:
     ids: np.ndarray  # of the examples, by position
     toxic: np.ndarray
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
-    start: np.ndarray  # (term, block) -> first posting; one more column
+    idf: np.ndarray  # times the weight by class
+    telling: dict[int, str]  # names of the terms that tell the classes apart
+    first: np.ndarray  # term -> first posting; one more
     example: np.ndarray
     weight: np.ndarray
-    maxima: np.ndarray  # (term, block)
     slope: float = 1.0
     shift: float = 0.0
-    silent: float = 0.0  # score of a text without any term of the vocabulary
+    silent: float = 0.0  # score of a text that shares no term with any example
     seen: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.terms = Terms(self.vocabulary)
-        self.names = [w.replace(STEM, b"*").decode("utf-8", "replace") for w in self.vocabulary]
+        terms, blocks = len(self.vocabulary), max(1, -(-len(self.ids) // BLOCK))
+        self.start = np.empty((terms, blocks + 1), np.int32)  # (term, block) -> first posting
+        self.maxima = np.zeros((terms, blocks), np.float32)  # rounded up
+        self.start[:, 0] = self.first[:-1]
+        term, block = np.repeat(np.arange(terms, dtype=np.int32), np.diff(self.first)), self.example // BLOCK
+        up = np.nextafter(self.weight.astype(np.float32), np.float32(np.inf))
+        for b in range(blocks):
+            here = np.flatnonzero(block == b)
+            self.start[:, b + 1] = self.start[:, b] + np.bincount(term[here], minlength=terms)
+            np.maximum.at(self.maxima[:, b], term[here], up[here])
+
+    def __getstate__(self):
+        """Without what follows from the postings."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "start", "maxima", "seen")}
+
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state, seen={})
+        self.__post_init__()
 
     def query(self, counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array([c[0] for c in counts], np.int64)
@@ -90,19 +110,27 @@ class Index:
     def search(self, t: np.ndarray, q: np.ndarray, k: int = K, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0; equal ones by the examples' order. Also counts visited blocks."""
         bound = q @ self.maxima[t]
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        self.visited = 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
+        self.visited, at, step = 0, 0, 1
+        while at < len(order):
+            bs = order[at : at + step]
+            bs = bs[(bound[bs] > 0) & (bound[bs] >= (best[-1][0] - 1e-9 if len(best) == k else 0))]
+            if not len(bs):
                 break
-            self.visited += 1
-            acc = np.zeros(BLOCK)
-            for i, w in zip(t, q, strict=True):
-                lo, hi = self.start[i, b], self.start[i, b + 1]
-                if hi > lo:
-                    acc[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            hits = [(round(float(acc[j]), 12), int(j + b * BLOCK)) for j in np.flatnonzero(acc > 0) if j + b * BLOCK != skip]
-            best = sorted(best + hits, key=lambda x: (-x[0], x[1]))[:k]
+            self.visited += len(bs)
+            lo = self.start[t[:, None], bs]
+            n = (self.start[t[:, None], bs + 1] - lo).ravel()
+            end = np.cumsum(n)
+            of = np.arange(end[-1]) + np.repeat(lo.ravel() - (end - n), n)
+            acc = np.bincount(self.example[of], self.weight[of] * np.repeat(np.repeat(q, len(bs)), n), len(self.ids))
+            if skip >= 0:
+                acc[skip] = 0
+            hits = np.flatnonzero(acc > 0)
+            if len(hits) > k:
+                hits = hits[acc[hits] >= np.partition(acc[hits], -k)[-k] - 1e-11]
+            best = sorted(best + [(round(float(acc[j]), 12), int(j)) for j in hits], key=lambda x: (-x[0], x[1]))[:k]
+            at, step = at + step, 2 * step
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -110,62 +138,46 @@ class Index:
         return sum(s * self.toxic[i] for s, i in near) / total if total else 0.0
 
     def score(self, text: bytes | None) -> tuple[float, list[int], list[str]]:
-        """Calibrated score, ids of the three nearest examples, and the text's terms."""
-        counts = tuple(sorted(self.terms.count(text).items()))
-        if not counts:
-            return self.silent, [], []
-        if counts not in self.seen:
-            near = self.search(*self.query(counts))
+        """Calibrated score, ids of the three nearest examples, and the text's telling terms. Equal texts are scored once."""
+        key = hashlib.md5(text or b"").digest()
+        if key not in self.seen:
+            counts = sorted(self.terms.count(text).items())
+            near = self.search(*self.query(counts)) if counts else []
             p = 1 / (1 + np.exp(-(self.slope * self.vote(near) + self.shift)))
-            if len(self.seen) > 50_000:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
-            self.seen[counts] = (float(p) if near else self.silent, [int(self.ids[i]) for _, i in near[:3]])
-        p, ids = self.seen[counts]
-        return p, ids, [self.names[i] for i, _ in counts]
+            self.seen[key] = (float(p) if near else self.silent, [int(self.ids[i]) for _, i in near[:3]], [self.telling[i] for i, _ in counts if i in self.telling])
+        return self.seen[key]
 
 
-def vocabulary(bags: list[set[bytes]], y: np.ndarray) -> list[bytes]:
-    """Terms of at least MIN_DF examples whose chi-squared against the label is MIN_CHI2 at least, the VOCABULARY highest.
+def vocabulary(bags: list[Counter]) -> list[bytes]:
+    """All terms of the examples."""
+    return sorted({t for bag in bags for t in bag})
 
-    Of a word and its beginnings that are in as many examples of either class, the shortest stands for all.
-    """
-    n, pos = len(y), y.sum()
-    a, b = Counter(), Counter()
-    for bag, toxic in zip(bags, y, strict=True):
-        (a if toxic else b).update(bag)
-    scored: dict[tuple, tuple] = {}
-    for w in set(a) | set(b):
-        df = a[w] + b[w]
-        if df >= MIN_DF and df < n and 0 < pos < n:
-            chi2 = n * (a[w] * (n - pos - b[w]) - b[w] * (pos - a[w])) ** 2 / (df * (n - df) * pos * (n - pos))
-            if chi2 >= MIN_CHI2:
-                same = (w[: STEMS[0]], a[w], b[w])
-                scored[same] = min(scored.get(same, (99, b"", 0.0)), (len(w), w, -chi2))
-    return [w for _, w, _ in sorted(scored.values(), key=lambda x: (x[2], x[1]))[:VOCABULARY]]
-
-
-def build(ids: list[int], bags: list[Counter], y: np.ndarray, telling: list[bytes], df: np.ndarray, n_docs: int, share: float) -> Index:
+
+def chi_squared(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
+    """Of terms in df of n examples, a of them among the pos toxic ones; 0 where a class or either side of the term is empty."""
+    b = df - a
+    return n * (a * (n - pos - b) - b * (pos - a)) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1e-9)
+
+
+def build(ids: list[int], bags: list[Counter], y: np.ndarray, terms: list[bytes], df: np.ndarray, n_docs: int, share: float) -> Index:
     """share: of toxic ones among all labelled rows; the sample's classes are weighed to it in the calibration."""
-    known = {w: i for i, w in enumerate(telling)}
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    blocks = max(1, -(-len(ids) // BLOCK))
-    rows: list[tuple[int, int, float]] = []
-    for e, bag in enumerate(bags):
-        own = [(known[w], c) for w, c in bag.items() if w in known]
-        if own:
-            v = np.array([(1 + np.log(c)) * idf[i] for i, c in own])
-            v /= np.sqrt(v @ v)
-            rows += [(i, e, x) for (i, _), x in zip(own, v, strict=True)]
-    rows.sort()
-    term, example, weight = (np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
-    maxima = np.zeros((len(telling), blocks))
-    np.maximum.at(maxima, (term, example // BLOCK), weight)
-    cell = term * (blocks + 1) + example // BLOCK
-    start = np.searchsorted(cell, np.arange(len(telling) * (blocks + 1))).reshape(len(telling), blocks + 1)
-    index = Index(np.array(ids, np.int64), y.astype(float), known, idf, start, example, weight, maxima)
+    known = {w: i for i, w in enumerate(terms)}
+    own = [[(known[w], c) for w, c in bag.items() if w in known] for bag in bags]
+    example = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+    term = np.fromiter((i for x in own for i, _ in x), np.int32, len(example))
+    count = np.fromiter((c for x in own for _, c in x), float, len(example))
+    a, per = np.bincount(term, y[example], len(terms)), np.bincount(term, minlength=len(terms)).astype(float)
+    chi2 = chi_squared(a, per, y.sum(), len(y))
+    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * (chi2 / (chi2 + MIN_CHI2) + FLOOR)
+    weight = (1 + np.log(count)) * idf[term]
+    weight /= np.sqrt(np.bincount(example, weight * weight, len(own)))[example]
+    order = np.lexsort((example, term))
+    telling = {int(i): terms[i].replace(STEM, b"*").decode("utf-8", "replace") for i in np.flatnonzero((per >= MIN_DF) & (chi2 >= MIN_CHI2))}
+    index = Index(np.array(ids, np.int64), y.astype(float), known, idf, telling, np.concatenate(([0], np.cumsum(per))).astype(np.int32), example[order], weight[order])
     votes, told = [], []
-    for e, bag in enumerate(bags):
-        counts = sorted((known[w], c) for w, c in bag.items() if w in known)
+    for e, counts in enumerate(map(sorted, own)):
         near = index.search(*index.query(counts), skip=e) if counts else []
         votes.append(index.vote(near))
         told.append(bool(near))
@@ -210,16 +222,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(bag, "doc_id long, y int, w binary, c array<int>").limit(4 * MAX_PER_CLASS).collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["w"])))
-    bags = [Counter(dict(zip(bytes(r["w"]).split(), r["c"], strict=True))) for r in found]
-    y = np.array([r["y"] for r in found], int)
-    telling = vocabulary([set(b) for b in bags], y)
-    df, n_docs = document_frequencies(docs, telling)
-    return build([r["doc_id"] for r in found], bags, y, telling, df, n_docs, sizes.get(1, 0) / max(sum(sizes.values()), 1))
+    one: dict[bytes, bytes] = {}  # a term's bytes are held once
+    bags = [Counter(dict(zip((one.setdefault(t, t) for t in bytes(r["w"]).split(b" ")), r["c"], strict=True))) if r["c"] else Counter() for r in found]
+    ids, y = [r["doc_id"] for r in found], np.array([r["y"] for r in found], int)
+    del found, one
+    terms = vocabulary(bags)
+    df, n_docs = document_frequencies(docs, terms)
+    return build(ids, bags, y, terms, df, n_docs, sizes.get(1, 0) / max(sum(sizes.values()), 1))
 
 
-def document_frequencies(docs: DataFrame, telling: list[bytes]) -> tuple[np.ndarray, int]:
-    """Of the vocabulary's terms, over all documents."""
-    known = {w: i for i, w in enumerate(telling)}
+def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
+    """Of the vocabulary's terms, over all documents; and the number of documents. A task sends a row for every CHUNK of terms."""
+    known = {w: i for i, w in enumerate(terms)}
+    schema = "chunk int, n binary"
+
+    def rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, of = np.zeros(len(known) + 1, np.int64), Terms(known)
@@ -227,19 +245,25 @@ def document_frequencies(docs: DataFrame, telling: list[bytes]) -> tuple[np.ndar
             df[-1] += b.num_rows
             for t in as_bytes(b.column(0)):
                 df[list(of.count(t))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["term", "n"])
+        yield rows({i: df[i * CHUNK : (i + 1) * CHUNK] for i in range(-(-len(df) // CHUNK))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, n in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(n, np.int64)
+        yield rows(sums)
 
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(telling) + 1, np.int64)
-    for r in rows:
-        df[r["term"]] = r["n"]
+    df = np.zeros(len(terms) + 1, np.int64)
+    for r in docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
+        df[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["n"]), np.int64)
     return df[:-1].astype(float), int(df[-1])
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, nearest (ids of the three nearest examples), evidence (the text's telling terms).
 
-    Null and empty texts score as texts without any telling term. Repeated rows and null ids each
+    Null and empty texts score as texts that share no term with any example. Repeated rows and null ids each
     get their row. Without labelled rows every score is 0.
     """
 

@@ -166,3 +166,19 @@ def test_toxicity_edges(spark, edge, edge_rows, nothing):
     flipped = labels.withColumn("toxic", F.when(language.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.score(texts(edge), toxicity.fit(texts(edge), x)).collect() for x in (labels, flipped))
     assert Counter(map(str, a)) == Counter(map(str, b))
+
+
+def test_toxicity_searches_every_text(spark):
+    """Too few examples for a telling term: still, a copy of a toxic one is searched for and found."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = [(i, " ".join("".join(rng.choices(letters, k=7)) for _ in range(30))) for i in range(40)]
+    learned = [i for i, _ in docs if remainder(i) != 2]
+    toxic = set(learned[:3])
+    docs += [(1000 + i, t) for i, t in docs if i in toxic]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in learned], "doc_id long, toxic int")
+    df = texts(spark.createDataFrame(docs, "doc_id long, text string"))
+    index = toxicity.fit(df, labels)
+    assert not index.telling
+    got = {r["doc_id"]: r for r in toxicity.score(df, index).collect()}
+    assert all(got[1000 + i]["nearest"][0] == i for i in toxic)
