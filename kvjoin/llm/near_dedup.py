@@ -5,6 +5,8 @@ shingle is a Poisson process whose rate is its weight; arrivals go to random
 registers, and a register keeps the shingle of its earliest arrival. A shingle stops
 as soon as its next arrival comes after the latest register: early termination.
 Two texts agree in a register with the probability Jaccard similarity of their weights.
+A text in which a shingle repeats has a second sketch with all weights 1, so that texts
+meet by the Jaccard similarity of their sets, too; for other texts both sketches are one.
 
 Registers are banded; texts that meet in a band are candidates. Equal texts are one
 node from the start. Within a bucket, a leader (first the text that meets most
@@ -113,15 +115,23 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
-    """(node, keys): the band keys of each text."""
+    """(node, keys): the band keys of each text, of both its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
                 sets = [shingles(t) for t in as_bytes(b.column(1))]
                 doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-                keys = band_keys(sketch(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), doc, len(sets)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys.reshape(-1)))], ["node", "keys"])
+                keys = list(band_keys(sketch(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), doc, len(sets))))
+                again = [i for i, s in enumerate(sets) if (s[1] > 1).any()]
+                if again:
+                    items = [sets[i][0] for i in again]
+                    doc = np.repeat(np.arange(len(again)), [len(x) for x in items])
+                    plain = band_keys(sketch(np.concatenate(items), np.ones(len(doc)), doc, len(again)))
+                    for i, k in zip(again, plain, strict=True):
+                        keys[i] = np.unique(np.concatenate((keys[i], k)))
+                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], ["node", "keys"])
 
     return nodes.where("node IS NOT NULL").select("node", "text").mapInArrow(run, "node binary, keys array<long>")
 

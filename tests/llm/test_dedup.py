@@ -82,6 +82,19 @@ def test_near_dedup(spark, edge, edge_rows, nothing):
     assert (0, docs[0][1]) in words and (4, docs[4][1]) not in words and Counter(words).most_common(1)[0][1] == 1
 
 
+def test_near_dedup_repeated_passage(spark):
+    """Copies in which one passage is repeated: nearly the same sets, but low probability Jaccard."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(504)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + 40 * words[100:115]))]
+        if i % 3 == 0:  # both texts with repeats, of other passages
+            docs[-2] = (2 * i, " ".join(words + 40 * words[300:315]))
+    got = Counter((r["doc_id"], r["class_id"]) for r in near_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == Counter((d, d - d % 2) for d, _ in docs)
+
+
 def test_near_dedup_chain_and_group(spark):
     """A chain whose ends aren't similar, a group of many near copies, and passages shared by unlike texts."""
     rng = random.Random(8)
