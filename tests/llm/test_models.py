@@ -182,3 +182,14 @@ def test_toxicity_searches_every_text(spark):
     assert not index.telling
     got = {r["doc_id"]: r for r in toxicity.score(df, index).collect()}
     assert all(got[1000 + i]["nearest"][0] == i for i in toxic)
+
+
+def test_toxicity_merges_no_terms():
+    """Unrelated words with the same first four bytes and equal counts in either class are terms of their own."""
+    bags = [Counter({"даром".encode(): 1}), Counter({"давно".encode(): 1}), Counter(other=1)]
+    bags = [Counter({w if isinstance(w, bytes) else w.encode(): n for w, n in b.items()}) for b in bags] * 60
+    y = np.array([1, 1, 0] * 60)
+    terms = toxicity.vocabulary(bags)
+    index = toxicity.build(list(range(180)), bags, y, terms, np.full(len(terms), 60.0), 180, y.mean())
+    for w in ("даром", "давно"):
+        assert w in index.score(w.encode())[2] and index.score(w.encode())[0] > 0.5
