@@ -150,7 +150,20 @@ class Index:
         return self.seen[key]
 
 
-def vocabulary(bags: list[Counter]) -> list[bytes]:
+class Bag:
+    """An example's terms and counts, held as bytes."""
+
+    def __init__(self, terms: bytes, counts: np.ndarray):
+        self.terms, self.counts = terms, counts
+
+    def __iter__(self) -> Iterator[bytes]:
+        return iter(self.terms.split(b" ") if self.terms else [])
+
+    def items(self) -> Iterator[tuple[bytes, int]]:
+        return zip(self, self.counts.tolist(), strict=True)
+
+
+def vocabulary(bags: list[Counter | Bag]) -> list[bytes]:
     """All terms of the examples."""
     return sorted({t for bag in bags for t in bag})
 
@@ -161,13 +174,12 @@ def chi_squared(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
     return n * (a * (n - pos - b) - b * (pos - a)) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1e-9)
 
 
-def build(ids: list[int], bags: list[Counter], y: np.ndarray, terms: list[bytes], df: np.ndarray, n_docs: int, share: float) -> Index:
+def build(ids: list[int], bags: list[Counter | Bag], y: np.ndarray, terms: list[bytes], df: np.ndarray, n_docs: int, share: float) -> Index:
     """share: of toxic ones among all labelled rows; the sample's classes are weighed to it in the calibration."""
     known = {w: i for i, w in enumerate(terms)}
-    own = [[(known[w], c) for w, c in bag.items() if w in known] for bag in bags]
+    own = [np.array([(known[w], c) for w, c in bag.items() if w in known], np.int32).reshape(-1, 2) for bag in bags]
     example = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
-    term = np.fromiter((i for x in own for i, _ in x), np.int32, len(example))
-    count = np.fromiter((c for x in own for _, c in x), float, len(example))
+    term, count = np.concatenate([*own, np.zeros((0, 2), np.int32)]).T
     a, per = np.bincount(term, y[example], len(terms)), np.bincount(term, minlength=len(terms)).astype(float)
     chi2 = chi_squared(a, per, y.sum(), len(y))
     idf = (np.log((1 + n_docs) / (1 + df)) + 1) * (chi2 / (chi2 + MIN_CHI2) + FLOOR)
@@ -177,7 +189,8 @@ def build(ids: list[int], bags: list[Counter], y: np.ndarray, terms: list[bytes]
     telling = {int(i): terms[i].replace(STEM, b"*").decode("utf-8", "replace") for i in np.flatnonzero((per >= MIN_DF) & (chi2 >= MIN_CHI2))}
     index = Index(np.array(ids, np.int64), y.astype(float), known, idf, telling, np.concatenate(([0], np.cumsum(per))).astype(np.int32), example[order], weight[order])
     votes, told = [], []
-    for e, counts in enumerate(map(sorted, own)):
+    for e, x in enumerate(own):
+        counts = sorted(map(tuple, x.tolist()))
         near = index.search(*index.query(counts), skip=e) if counts else []
         votes.append(index.vote(near))
         told.append(bool(near))
@@ -222,10 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(bag, "doc_id long, y int, w binary, c array<int>").limit(4 * MAX_PER_CLASS).collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["w"])))
-    one: dict[bytes, bytes] = {}  # a term's bytes are held once
-    bags = [Counter(dict(zip((one.setdefault(t, t) for t in bytes(r["w"]).split(b" ")), r["c"], strict=True))) if r["c"] else Counter() for r in found]
+    bags = [Bag(bytes(r["w"]), np.array(r["c"], np.int32)) for r in found]
     ids, y = [r["doc_id"] for r in found], np.array([r["y"] for r in found], int)
-    del found, one
+    del found
     terms = vocabulary(bags)
     df, n_docs = document_frequencies(docs, terms)
     return build(ids, bags, y, terms, df, n_docs, sizes.get(1, 0) / max(sum(sizes.values()), 1))
