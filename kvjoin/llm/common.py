@@ -47,7 +47,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/kvjoin-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() returned; nothing may read them afterwards."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -9,11 +9,14 @@ A text in which a shingle repeats has a second sketch with all weights 1, so tha
 meet by the Jaccard similarity of their sets, too; for other texts both sketches are one.
 
 Registers are banded; texts that meet in a band are candidates. Equal texts are one
-node from the start. Within a bucket, a leader (first the text that meets most
-others, mostly the original of its copies) is verified against the members of other classes (exact probability Jaccard, or Jaccard of the sets, of SIMILARITY at
-least), classes are joined, and new leaders follow from the smaller classes until
-in no bucket two classes have members that were not compared. So a bucket of g
-near copies takes g comparisons, and still no link between classes is lost.
+node from the start. Each bucket first has one leader (the text that meets most
+others, mostly the original of its copies), which is verified against the bucket's
+members (exact probability Jaccard, or Jaccard of the sets, of SIMILARITY at least), and
+linked texts become classes. What is left to compare are members of different classes
+of a bucket. Of those, only pairs that pass an exact bound leave the join: every text carries a bitmap of its
+shingles, and bits that one bitmap has alone tell how many shingles the texts can't
+share. Leaders multiply from round to round, classes are joined after each, and the last round
+takes all that is left, so no link between classes is lost among texts that meet.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_join, materialize, same, table, texts
+from .common import discard, fresh, hot_join, materialize, same, table, texts
 from .textstats import as_bytes, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 28 bands of 7 registers: a pair of similarity 0.8 meets with probability 0.9986, one of 0.5 with 0.2.
-BANDS, ROWS = 28, 7
-#: Leaders of a bucket in each round after the first, and comparisons a member up to which all that is left is done in one round.
-LEADERS, LINEAR = 16, 32
+#: 48 bands of 10 registers: a pair of similarity 0.8 meets with probability 0.9956, one of 0.85 with 0.9999, one of 0.6 with 0.25, one of 0.5 with 0.05.
+BANDS, ROWS = 48, 10
+#: A text's bitmap has 64 bits in each of so many longs.
+LONGS = 32
+SIGNATURE = [*(f"bits{i}" for i in range(LONGS)), "ones", "size", "mass"]
+#: Leaders of a bucket in the first round after the single one, by how much they multiply in each round, and comparisons a member up to which all that is left is done in one round.
+LEADERS, TIMES, LINEAR = 16, 4, 1024
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -114,26 +120,53 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.when(~blank, F.unhex(F.md5(F.col("text").cast("binary")))).alias("node"))
 
 
+def bitmap(items: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs, 64 * LONGS): the bits of the texts' shingles."""
+    flags = np.zeros((n_docs, 64 * LONGS), bool)
+    flags[doc, ((_mix(items) >> np.uint64(32)) * np.uint64(64 * LONGS) >> np.uint64(32)).astype(np.int64)] = True
+    return flags
+
+
 def signatures(nodes: DataFrame) -> DataFrame:
-    """(node, keys): the band keys of each text, of both its sketches."""
+    """(node, keys) and SIGNATURE: the band keys of each text, of both its sketches, its bitmap, the ones in that, and its shingles, distinct and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
                 sets = [shingles(t) for t in as_bytes(b.column(1))]
                 doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-                keys = list(band_keys(sketch(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), doc, len(sets))))
+                items, counts = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
+                keys = list(band_keys(sketch(items, counts.astype(float), doc, len(sets))))
                 again = [i for i, s in enumerate(sets) if (s[1] > 1).any()]
                 if again:
-                    items = [sets[i][0] for i in again]
-                    doc = np.repeat(np.arange(len(again)), [len(x) for x in items])
-                    plain = band_keys(sketch(np.concatenate(items), np.ones(len(doc)), doc, len(again)))
+                    own = [sets[i][0] for i in again]
+                    of = np.repeat(np.arange(len(again)), [len(x) for x in own])
+                    plain = band_keys(sketch(np.concatenate(own), np.ones(len(of)), of, len(again)))
                     for i, k in zip(again, plain, strict=True):
                         keys[i] = np.unique(np.concatenate((keys[i], k)))
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], ["node", "keys"])
+                flags = bitmap(items, doc, len(sets))
+                words = np.packbits(flags, axis=1).view(np.int64).T
+                sums = [x.astype(np.int32) for x in (flags.sum(1), np.bincount(doc, None, len(sets)), np.bincount(doc, counts, len(sets)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), *map(pa.array, map(np.ascontiguousarray, words)), *map(pa.array, sums)], ["node", "keys", *SIGNATURE])
+
+    bits = ", ".join(f"{c} long" for c in SIGNATURE[:LONGS])
+    return nodes.where("node IS NOT NULL").select("node", "text").mapInArrow(run, f"node binary, keys array<long>, {bits}, ones int, size int, mass int")
 
-    return nodes.where("node IS NOT NULL").select("node", "text").mapInArrow(run, "node binary, keys array<long>")
+
+def may_link(other: str) -> Column:
+    """False only if two signatures rule out a similarity of SIMILARITY: the columns of SIGNATURE, and those of the other text, with a prefix.
+
+    A bit that one bitmap has alone is at least one shingle that the other text doesn't have. That bounds the
+    Jaccard of the sets; and the probability Jaccard is at most the share of either text's mass that the other text
+    has. Both bounds are given as the bits that the bitmaps must have in common.
+    """
+    a, b = ({c: F.col(f"{x}{c}") for c in SIGNATURE} for x in ("", other))
+    sets = (a["size"] + b["size"]) * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.least(a["size"] - a["ones"], b["size"] - b["ones"])
+    masses = F.greatest(*[x["ones"] - x["mass"] * F.lit(1 - SIMILARITY) for x in (a, b)])
+    need = F.when((a["mass"] == a["size"]) & (b["mass"] == b["size"]), sets).otherwise(F.least(sets, masses)) - 1e-6
+    common = sum((F.bit_count(a[f"bits{i}"].bitwiseAND(b[f"bits{i}"])) for i in range(1, LONGS)), F.bit_count(a["bits0"].bitwiseAND(b["bits0"])))
+    return (F.least(a["ones"], b["ones"]) >= need) & (common >= need)
 
 
 def weighted_sets(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,27 +227,32 @@ def components(edges: DataFrame) -> DataFrame:
             up = at.select(F.col("v").alias("top"), F.col("l").alias("up"))
             new = hot_join(new.withColumn("top", F.col("l.v")), up, ["top"]).select("v", F.least("l", "up").alias("l"), "was")
         new = materialize(new)
-        at = new.select("v", "l")
-        if new.where("l <> was").isEmpty():
+        discard(at)
+        at = new
+        if at.where("l <> was").isEmpty():
+            discard(both)
             return at.select("v", F.col("l.v").alias("root"))
 
 
-def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
-    """label (node, label) after classes that links (a, b) connects, given as labels, have become one."""
-    links = materialize(links)
-    if links.isEmpty():
-        return label
-    root = components(links).select(F.col("v").alias("label"), "root")
-    return materialize(label.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-
-
 def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
+def _renamed(df: DataFrame, root: DataFrame) -> DataFrame:
+    """df with its labels replaced by those of root (v, root), where they are there."""
+    to = root.select(F.col("v").alias("label"), "root")
+    return hot_join(df, to, ["label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+
+
+def _open(now: DataFrame) -> DataFrame:
+    """Members of the buckets that have two classes or more."""
+    several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return hot_join(now, several, ["key"])
+
+
 def classes(nodes: DataFrame) -> DataFrame:
     """(node, label): the class of each node that shares a bucket; label is a node. Others are left out."""
-    sigs = materialize(signatures(nodes).groupBy("node").agg(F.first("keys").alias("keys")))
+    sigs = materialize(signatures(nodes).groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", *SIGNATURE)]))
     bands = sigs.select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = materialize(hot_join(bands, shared, ["key"]).select("key", "node", "n"))
@@ -224,41 +262,46 @@ def classes(nodes: DataFrame) -> DataFrame:
     sets = materialize(weighted_sets(nodes, met.select("node")))
     # One leader for each bucket: the text that meets most others, so the same one wherever it can be.
     best = F.max(F.struct("met", F.xxhash64("node"), "node"))["node"].alias("lead")
-    lead = materialize(members.groupBy("key").agg(best))
-    tested = hot_join(members.select("key", "node"), lead, ["key"]).where("node <> lead").select(*_pair("node", "lead")).distinct()
-    tested = materialize(tested)
-    label = _joined(met.select("node", F.col("node").alias("label")), verify(tested, sets))
-    used = lead.select("key", F.col("lead").alias("node"))
+    led = materialize(hot_join(members.select("key", "node"), members.groupBy("key").agg(best), ["key"]).where("node <> lead"))
+    tested = materialize(led.select(*_pair("node", "lead")).distinct())
+    label = met.select("node", F.col("node").alias("label"))
+    now = led.select("key", "node", F.col("node").alias("label"))
+    links = materialize(verify(tested, sets))
+    if not links.isEmpty():
+        root = components(links)
+        label, now = _renamed(label, root), _renamed(now, root)
+    label = materialize(label)
+    # From here on now holds, for each open bucket, the members that have led no round.
+    now = materialize(hot_join(_open(now).select("key", "node", "label"), sigs.drop("keys"), ["node"]))
+    discard(held, members, led, links)
+    target = LEADERS
     while True:
-        now = hot_join(members, label, ["node"]).join(used.withColumn("led", F.lit(True)), ["key", "node"], "left")
-        free = F.when(F.col("led").isNull(), F.col("label"))
-        # A bucket is open while two of its classes have members that never led.
-        open_ = now.groupBy("key").agg(F.min(free).alias("lo"), F.max(free).alias("hi")).where("lo < hi").select("key")
-        now = materialize(hot_join(now, open_, ["key"]))
-        per = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("led").isNull()).alias("free"))
-        most = per.groupBy("key").agg(F.sum("size").alias("all"), F.sum("free").alias("unled"), F.max(F.struct("size", "label", "free")).alias("m"))
-        rows, work = most.agg(F.sum("all"), F.sum(F.col("all") * (F.col("unled") - F.col("m.free")))).first()
+        sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("m"))
+        sizes = sizes.select("key", "all", F.col("m.label").alias("large"), (F.col("all") - F.col("m.n")).alias("rest"))
+        rows, work = sizes.agg(F.sum("all"), F.sum(F.col("all").cast("double") * F.col("rest"))).first()
         if not rows:
-            return label
-        last = work <= LINEAR * rows
-        if last:  # all members of all but the largest class lead: what is left is compared at once
-            small = hot_join(now.where("led IS NULL"), most.select("key", F.col("m.label").alias("large")), ["key"]).where("label <> large")
-            leads = small.select("key", F.col("node").alias("lead"), F.col("label").alias("of"))
-        else:
-            sized = hot_join(now.where("led IS NULL"), per.select("key", "label", "size"), ["key", "label"])
-            pick = [F.min(F.struct("size" if i else -F.col("met"), F.xxhash64(F.lit(i), "node"), F.col("node").alias("lead"), F.col("label").alias("of"))) for i in range(LEADERS)]
-            leads = sized.groupBy("key").agg(F.array(*[F.struct(p["lead"].alias("lead"), p["of"].alias("of")) for p in pick]).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.lead", "p.of").distinct()
-        leads = materialize(leads)
-        pairs = hot_join(now.select("key", "node", "label"), leads, ["key"]).where("label <> of").select(*_pair("node", "lead")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = verify(pairs, sets)
+            break
+        last = work <= LINEAR * rows  # all members of all but the largest class lead: what is left is compared at once
+        u = F.pmod(F.xxhash64(F.lit(target), "key", "node"), F.lit(1 << 30)) / float(1 << 30)
+        chosen = (F.col("label") != F.col("large")) & (F.lit(last) | (u * F.col("rest") < target))
+        marked = materialize(hot_join(now, sizes, ["key"]).withColumn("leads", chosen).select("key", "node", "label", *SIGNATURE, "leads"))
+        leads = marked.where("leads").select("key", F.col("node").alias("lead"), F.col("label").alias("of"), *[F.col(c).alias(f"its_{c}") for c in SIGNATURE])
+        pairs = hot_join(marked, leads, ["key"]).where((F.col("label") != F.col("of")) & (~F.col("leads") | (F.col("node") < F.col("lead"))) & may_link("its_"))
+        pairs = materialize(pairs.select(*_pair("node", "lead")).distinct().join(tested, ["a", "b"], "left_anti"))
         named = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        links = hot_join(hot_join(links, named[0], ["a"]), named[1], ["b"]).where("la <> lb").select(*_pair("la", "lb")).distinct()
-        label = _joined(label, links)
+        links = hot_join(hot_join(verify(pairs, sets), named[0], ["a"]), named[1], ["b"]).where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        links = materialize(links)
+        rest = marked.where("NOT leads").drop("leads")
+        if not links.isEmpty():
+            root = components(links)
+            label, rest = materialize(_renamed(label, root)), _renamed(rest, root)
         if last:
-            return label
-        tested = materialize(tested.union(pairs))
-        used = materialize(used.union(leads.select("key", F.col("lead").alias("node"))))
+            break
+        tested, target, old = materialize(tested.union(pairs)), target * TIMES, now
+        now = materialize(_open(rest).select("key", "node", "label", *SIGNATURE))
+        discard(old, marked, pairs, links)
+    discard(sigs, sets, tested, now)
+    return label
 
 
 def report(docs: DataFrame) -> DataFrame:
