@@ -133,18 +133,21 @@ def test_search_is_exact_and_prunes():
         for w, c in bag.items():
             dense[e, names.index(w)] = (1 + np.log(c)) * index.idf[names.index(w)]
     dense /= np.maximum(np.sqrt((dense**2).sum(1, keepdims=True)), 1e-12)
-    visited = blocks = 0
+    place = np.argsort(index.rank)  # of the bags
     rng = random.Random(9)
-    for _ in range(200):
-        counts = sorted(Counter(rng.randrange(60) for _ in range(rng.randrange(1, 6))).items())
-        t, q = index.query(counts)
-        cos = dense[:, t] @ q
-        want = sorted(((round(float(c), 12), i) for i, c in enumerate(cos) if c > 1e-12), key=lambda x: (-x[0], x[1]))[: toxicity.K]
-        got = index.search(t, q)
-        assert [g[0] for g in got] == pytest.approx([w[0] for w in want], abs=1e-9)
-        assert len({g[1] for g in got} ^ {w[1] for w in want}) <= 2 * sum(abs(w[0] - want[-1][0]) < 1e-9 for w in want)
-        visited, blocks = visited + index.visited, blocks + index.maxima.shape[1]
-    assert visited < blocks
+    queries = [index.query(sorted(Counter(rng.randrange(60) for _ in range(rng.randrange(1, 6))).items())) for _ in range(450)]
+    skip = [rng.randrange(len(bags)) for _ in queries]
+    for left_out in (None, [int(place[e]) for e in skip]):
+        found = index.search(queries, skip=left_out)
+        assert index.visited < len(queries) * len(index.dense)
+        for (t, q), got, e in zip(queries, found, skip, strict=True):
+            cos = (dense[:, t] @ q).round(12)
+            if left_out:
+                cos[e] = 0
+            order = sorted((i for i, c in enumerate(cos) if c > 1e-12), key=lambda i: (-cos[i], i))
+            assert [g[0] for g in got] == pytest.approx([cos[i] for i in order[: toxicity.K]], abs=1e-9)
+            sure = {i for i in order[: toxicity.K] if abs(cos[i] - got[-1][0]) > 1e-9}
+            assert sure <= {int(index.rank[j]) for _, j in got}
 
 
 def test_toxicity_query(spark):
@@ -155,6 +158,58 @@ def test_toxicity_query(spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxicity_query_by_brute_force(spark):
+    """The query against plain dictionaries: weights, all cosines, votes, calibration with each example left out."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lab = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if remainder(r["doc_id"]) != 2}
+    bag = {i: Counter("".join(c.lower() if c.isascii() and c.isalpha() else c if not c.isascii() else " " for c in t).split(" ")) for i, t in docs.items()}
+    for b in bag.values():
+        del b[""]
+    known = sorted(i for i in lab if i in docs)
+    df, own, bad = Counter(), Counter(), Counter()
+    for b in bag.values():
+        df.update(b.keys())
+    for i in known:
+        own.update(bag[i].keys())
+        bad.update(bag[i].keys() if lab[i] else ())
+    n, pos = len(known), sum(lab[i] for i in known)
+
+    def weight(w):
+        a, b = bad[w], own[w] - bad[w]
+        down = own[w] * (n - own[w]) * pos * (n - pos)
+        chi2 = n * (a * (n - pos - b) - b * (pos - a)) ** 2 / max(down, 1e-9)
+        return (np.log((1 + len(docs)) / (1 + df[w])) + 1) * (chi2 / (chi2 + toxicity.MIN_CHI2) + toxicity.FLOOR)
+
+    weights = {w: weight(w) for w in own}
+
+    def vector(b):
+        v = {w: (1 + np.log(c)) * weights[w] for w, c in b.items() if w in weights}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(bag[i]) for i in docs}
+
+    def nearest(i, skip=None):
+        cos = {e: round(sum(x * vectors[e].get(w, 0) for w, x in vectors[i].items()), 12) for e in known if e != skip}
+        return sorted(((-c, e) for e, c in cos.items() if c > 0))[: toxicity.K]
+
+    vote = lambda near: sum(-c * lab[e] for c, e in near) / sum(-c for c, _ in near)
+    near = {e: nearest(e, e) for e in known}
+    told = [e for e in known if near[e]]
+    share = sum(lab.values()) / len(lab)
+    w = np.array([share / pos if lab[e] else (1 - share) / (n - pos) for e in told])
+    slope, shift = toxicity._platt(np.array([vote(near[e]) for e in told]), np.array([lab[e] for e in told]), w)
+    silent = 0
+    for r in toxicity.query(spark, sf).collect():
+        got = nearest(r["doc_id"])
+        silent += not got
+        if got:
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-(slope * vote(got) + shift))), abs=1e-6)
+            assert r["nearest"][:1] == [got[0][1]] or got[0][0] == pytest.approx(got[1][0], abs=1e-9)
+    assert silent <= 0.05 * len(docs)
+
+
 def test_toxicity_edges(spark, edge, edge_rows, nothing):
     labels = spark.createDataFrame([(i, None if i == 4 else 1, None if i == 5 else i % 2) for i in range(19)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     for docs, lab in ((edge, labels), (edge, labels.limit(0)), (nothing, labels)):
@@ -192,4 +247,4 @@ def test_toxicity_merges_no_terms():
     terms = toxicity.vocabulary(bags)
     index = toxicity.build(list(range(180)), bags, y, terms, np.full(len(terms), 60.0), 180, y.mean())
     for w in ("даром", "давно"):
-        assert w in index.score(w.encode())[2] and index.score(w.encode())[0] > 0.5
+        assert w in index.score([w.encode()])[0][2] and index.score([w.encode()])[0][0] > 0.5
