@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kvjoin.functions import hashes as H
 from kvjoin.operators import aggregates, joins, partition, projections, selections, sorts
 from kvjoin.plans import steps
-from kvjoin.relation import BANKS, load_column, nonzero, placed, relation, violations
+from kvjoin.relation import BANKS, load_column, nonzero, padding, placed, relation, violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -139,10 +139,10 @@ _TIDS = f"SELECT lvalue, pos, bank % {BANKS} AS b, rank, pos - bank * per AS i,
 
 
 def tids(spark: SparkSession, sf: str) -> DataFrame:
-    p = place(spark, sf)
-    first = p.groupBy("bank").agg(F.min("pos").alias("first"))
-    p = p.join(F.broadcast(first), "bank")  # a row for each bank
-    return p.withColumn("tid", H.tid_create(F.col("rank"), F.col("bank") % BANKS, F.col("pos") - F.col("first")))
+    r = rel(spark, sf, "orders", "o_orderkey", "o_custkey")
+    n = r.count()
+    local = F.col("pos") - F.col("bank") * padding(n, RANKS)[1]
+    return placed(r, RANKS, ["lvalue", "rvalue"], n).withColumn("tid", H.tid_create(F.col("rank"), F.col("bank") % BANKS, local))
 
 
 add("tid_create", f"SELECT lvalue, tid FROM ({_TIDS})")(lambda s, d: tids(s, d).select("lvalue", "tid"))
@@ -203,7 +203,7 @@ def _chain(s: SparkSession, d: str) -> DataFrame:
 # Partitioning
 _T = f"SELECT *, (h & {RANKS * BANKS - 1}) AS dst_bank, (h & {RANKS * BANKS - 1}) // {BANKS} AS dst_rank FROM ({_sql_glb(f'SELECT * FROM ({_PLACED}) WHERE lvalue <> 0')})"
 _FAN = "CASE WHEN {0} // {1} = 0 THEN 1 ELSE (1 << length(bin({0} // {1}))) END"
-add("glb_partition", "SELECT l_orderkey AS lvalue, l_partkey AS rvalue FROM lineitem WHERE l_orderkey <> 0")(lambda s, d: partition.global_partition(sides(s, d)[1], BANKS))
+add("glb_partition", f"SELECT lvalue, rvalue, h & {BANKS - 1} AS part FROM ({_sql_glb('SELECT l_orderkey AS lvalue, l_partkey AS rvalue FROM lineitem WHERE l_orderkey <> 0')})")(lambda s, d: partition.global_partition(sides(s, d)[1], BANKS))
 _HIST = f"SELECT bank, dst_bank, count(*) AS n FROM ({_T}) GROUP BY 1, 2"
 add("partition_histogram", _HIST)(lambda s, d: partition.histogram(place(s, d), RANKS))
 add("partition_offsets", f'SELECT *, coalesce(sum(n) OVER (PARTITION BY bank ORDER BY dst_bank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM ({_HIST})')(
@@ -242,6 +242,7 @@ add(
 for _n, _c, _dir in (("sort_int", "p_size", "ASC"), ("sort_int_desc", "p_size", "DESC"), ("sort_string", "p_name", "ASC"), ("sort_string_desc", "p_name", "DESC")):
     add(_n, f"SELECT row_number() OVER (ORDER BY {_c} {_dir}, p_partkey) - 1 AS pos, p_partkey AS tid FROM part")(lambda s, d, c=_c, up=_dir == "ASC": sorts.sort_tids(table(s, d, "part"), c, "p_partkey", up))
 add("sort_date", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_orderkey AS tid FROM orders")(lambda s, d: sorts.sort_tids(table(s, d, "orders"), "o_orderdate", "o_orderkey"))
+add("sort_date_desc", "SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos, o_orderkey AS tid FROM orders")(lambda s, d: sorts.sort_tids(table(s, d, "orders"), "o_orderdate", "o_orderkey", False))
 add("sort_int64_with_tid", "SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos, o_orderkey AS tid FROM orders")(lambda s, d: sorts.sort_tids(table(s, d, "orders"), "o_custkey", "o_orderkey"))
 
 
@@ -338,15 +339,19 @@ add("fill_factor", f"SELECT src_rank, dst_rank, round(n_rows * 8 / (packets * 12
     lambda s, d: partition.packet_histogram(place(s, d), RANKS).select("src_rank", "dst_rank", F.round(F.col("n_rows") * 8 / (F.col("packets") * 128), 9).alias("fill_factor"))
 )
 add("partition_skew", f"SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_parts, max(n) AS most, round(sum(n) / (max(n) * count(*)), 6) AS fill_factor FROM ({_HIST})")(lambda s, d: partition.skew(partition.histogram(place(s, d), RANKS)))
-add("timeline")(lambda s, d: steps.timeline(s, {a: (lambda a=a: joins.join(*sides(s, d, "_nation_customer"), a).count()) for a in joins.ALGORITHMS}))
+add("timeline", "SELECT i::INTEGER AS step, ['phj', 'smj', 'nl', 'nphj', 'mpsm'][i + 1] AS op, n AS n_rows, TRUE AS in_order FROM (SELECT unnest(range(5)) AS i), (SELECT count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_nationkey <> 0)")(
+    lambda s, d: steps.timeline(s, {a: (lambda a=a: joins.join(*sides(s, d, "_nation_customer"), a).count()) for a in joins.ALGORITHMS}).select(
+        "step", "op", "n_rows", (F.col("start_s") <= F.col("stop_s")).alias("in_order")
+    )
+)
 add("run_plan", f"SELECT r.v AS lvalue, s.v AS rvalue FROM {_F} r JOIN {_L1} s USING (k)")(
     lambda s, d: steps.run_plan(
         [
             {"operator": "nonzero", "inputs": ["left"], "output": "r"},
             {"operator": "nonzero", "inputs": ["right"], "output": "s"},
             {"operator": "sync", "inputs": ["r"]},
-            {"operator": "partition", "inputs": ["r"], "output": "rp", "n": 8},
-            {"operator": "partition", "inputs": ["s"], "output": "sp", "n": 8},
+            {"operator": "partition", "inputs": ["r"], "output": "rp", "n": BANKS},
+            {"operator": "partition", "inputs": ["s"], "output": "sp", "n": BANKS},
             {"operator": "free", "inputs": ["r", "s"]},
             {"operator": "join", "inputs": ["rp", "sp"], "output": "j", "algorithm": "phj"},
             {"operator": "project", "inputs": ["j"], "output": "result", "lvalue": "lvalue", "rvalue": "rvalue"},

@@ -2,8 +2,8 @@
 
 The algorithm is a request to Catalyst (a join hint), the answer is always the same.
 "phj" shuffled hash, "smj" sort-merge, "nl" nested loop, "nphj" broadcast hash (only
-behind a size check), "mpsm" sort-merge over range partitions. Adaptive execution splits
-skewed probe keys of the shuffled joins.
+behind a size check), "mpsm" sort-merge over ranges of the key that both sides share. Adaptive
+execution splits skewed probe keys of "phj" and "smj"; the ranges of "mpsm" stay as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvjoin.relation import checked, nonzero, valid_key
+from kvjoin.relation import bounds, bucket, checked, nonzero, valid_key
 
 ALGORITHMS = ("phj", "smj", "nl", "nphj", "mpsm")
 #: Rows up to which the build side is broadcast, and the product of rows up to which a nested loop is run; beyond, the sort-merge join.
@@ -46,18 +46,25 @@ def join(left: DataFrame, right: DataFrame, algorithm: str = "phj", reserved: in
         if not (twice := duplicates(left)).isEmpty():
             raise DuplicateKeyError(f"build keys that occur more than once, such as {twice.first()['lvalue']}")
     r, s = _sides(left, right, reserved)
+    if algorithm == "mpsm":
+        r, s = ranges(r, s)
+        return r.hint("merge").join(s, (F.col("rb") == F.col("sb")) & (F.col("rk") == F.col("sk"))).select(F.col("rv").alias("lvalue"), F.col("sv").alias("rvalue"))
     on = F.col("rk") == F.col("sk")
     if algorithm == "nphj" and left.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         algorithm = "smj"
     if algorithm == "nl" and left.count() * right.count() > LOOP_PAIRS:
         algorithm = "smj"
-    if algorithm == "mpsm":
-        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        r, s = r.repartitionByRange(n, "rk"), s.repartitionByRange(n, "sk")
-    hint = {"phj": "shuffle_hash", "smj": "merge", "nl": "shuffle_replicate_nl", "nphj": "broadcast", "mpsm": "merge"}[algorithm]
+    hint = {"phj": "shuffle_hash", "smj": "merge", "nl": "shuffle_replicate_nl", "nphj": "broadcast"}[algorithm]
     return r.hint(hint).join(s, on).select(F.col("rv").alias("lvalue"), F.col("sv").alias("rvalue"))
 
 
+def ranges(r: DataFrame, s: DataFrame, build: str = "rk", probe: str = "sk") -> tuple[DataFrame, DataFrame]:
+    """Both sides with the range of their key (rb, sb), dealt out by it: one set of bounds, from the build keys, cuts both, so the merge join needs no further exchange."""
+    n = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = bounds(r, [build], n)
+    return r.withColumn("rb", bucket(r, [build], cuts)).repartition(n, "rb"), s.withColumn("sb", bucket(s, [probe], cuts)).repartition(n, "sb")
+
+
 def probe(left: DataFrame, right: DataFrame) -> DataFrame:
     """At most one match per probe row: (key, rvalue, hit). With repeated build keys the row still counts once."""
     keys = left.where(valid_key(F.col("lvalue"))).select(F.col("lvalue").alias("rk")).distinct().withColumn("found", F.lit(True))
@@ -105,6 +112,8 @@ class JoinInstance:
         self.relations[name] = df.select(F.col(df.columns[0]).cast("long").alias("lvalue"), F.col(df.columns[1]).cast("long").alias("rvalue"))
 
     def free(self, name: str) -> None:
+        if name not in self.relations:
+            raise ValueError(f"not loaded: {name}")
         self.relations.pop(name).unpersist()
 
     def join(self, algorithm: str = "phj", strict: bool = False) -> DataFrame:

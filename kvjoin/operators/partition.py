@@ -80,8 +80,9 @@ def local_histogram(placed: DataFrame, ranks: int, fill: int = FILL) -> DataFram
 
 
 def global_partition(df: DataFrame, n: int) -> DataFrame:
-    """df without the reserved key, dealt over n partitions by key: the map side of a shuffle."""
-    return nonzero(df).repartition(n, "lvalue")
+    """df without the reserved key, with part, its partition (the partition hash masked by n, a power of two), dealt out by it: the map side of a shuffle."""
+    h = with_h_glb(nonzero(df), "lvalue", "_h")
+    return h.withColumn("part", F.col("_h").bitwiseAND(F.lit(n - 1))).drop("_h").repartition(n, "part")
 
 
 def global_partition_legacy(placed: DataFrame, ranks: int) -> DataFrame:

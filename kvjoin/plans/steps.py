@@ -59,10 +59,10 @@ def run_plan(steps: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def timeline(spark, actions: dict[str, Callable[[], object]]) -> DataFrame:
-    """(op, start_s, stop_s): runs the actions in turn."""
+    """(step, op, n_rows, start_s, stop_s): runs the actions in turn; n_rows is what an action returns."""
     began, rows = time.perf_counter(), []
-    for name, act in actions.items():
+    for i, (name, act) in enumerate(actions.items()):
         start = time.perf_counter() - began
-        act()
-        rows.append((name, start, time.perf_counter() - began))
-    return spark.createDataFrame(rows, "op string, start_s double, stop_s double")
+        n = act()
+        rows.append((i, name, n, start, time.perf_counter() - began))
+    return spark.createDataFrame(rows, "step int, op string, n_rows long, start_s double, stop_s double")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 MAX_KEY = 2**31 - 1
 BANKS = 64  # per rank
 TUPLE_BYTES = 8
+SAMPLED = 32  # rows a bucket from which bounds are taken
 
 
 class KeyDomainError(ValueError):
@@ -67,32 +68,60 @@ def placed(df: DataFrame, ranks: int, order: list[str], n: int) -> DataFrame:
     return numbered(df, order).withColumn("bank", F.floor(F.col("pos") / per_bank).cast("long")).withColumn("rank", F.floor(F.col("bank") / BANKS).cast("long"))
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A number that follows the column's order: the column itself, microseconds, or the first bytes of a string."""
-    kind, c = dict(df.dtypes)[name], F.col(name)
-    if kind == "string":
-        return sum((F.coalesce(F.ascii(F.substring(c, i, 1)), F.lit(0)).cast("double") * (0x110000 ** (3 - i)) for i in (1, 2)), F.lit(0.0))
-    if kind.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return (F.unix_date(c) if kind == "date" else c).cast("double")
+def bounds(df: DataFrame, order: list[str], buckets: int) -> list[tuple]:
+    """Rows of the order columns, as strings, that cut df into about even buckets, from a uniform sample of at most SAMPLED rows a bucket. A pass over the columns, run at once; they only decide how even the buckets are."""
+    names = [x.removeprefix("-") for x in order]
+    rows = df.select(*names).orderBy(F.rand(7)).limit(SAMPLED * buckets)
+    rows = [tuple(r) for r in rows.orderBy(*_keys(order)).select(*[F.col(x).cast("string") for x in names]).collect()]
+    cuts = [rows[len(rows) * i // buckets] for i in range(1, buckets)] if rows else []
+    return [c for i, c in enumerate(cuts) if not i or c != cuts[i - 1]]
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "pos", buckets: int = 64) -> DataFrame:
-    """df with the position of each row in a total order, from 0. order: columns, those with a leading - descending.
+def _keys(order: list[str]) -> list[Column]:
+    return [F.col(x[1:]).desc() if x.startswith("-") else F.col(x).asc() for x in order]
 
-    Two levels, so that no task sees all rows: quantiles of the first column cut the order into
-    buckets, each numbers its own rows in a window, and a table of one row for each bucket has the offsets. Equal rows
-    take consecutive numbers.
+
+def bucket(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
+    """How many of the cuts (from bounds()) come before the row: a binary search, written as one expression."""
+    kinds = [dict(df.dtypes)[x.removeprefix("-")] for x in order]
+
+    def after(cut: tuple) -> str:
+        out = "false"
+        for x, kind, v in reversed(list(zip(order, kinds, cut, strict=True))):
+            c = "`" + x.removeprefix("-").replace("`", "``") + "`"
+            quoted = None if v is None else v.replace("\\", "\\\\").replace("'", "\\'")
+            b = f"CAST(NULL AS {kind})" if v is None else f"CAST('{quoted}' AS {kind})"
+            if x.startswith("-"):
+                later = "false" if v is None else f"({c} < {b} OR {c} IS NULL)"
+            else:
+                later = f"{c} IS NOT NULL" if v is None else f"{c} > {b}"
+            out = later if out == "false" else f"({later} OR {c} <=> {b} AND {out})"
+        return out
+
+    def search(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"IF({after(cuts[middle])}, {search(middle + 1, high)}, {search(low, middle)})"
+
+    return F.expr(search(0, len(cuts)))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "pos", buckets: int | None = None) -> DataFrame:
+    """df with the position of each row in a total order, from 0. order: columns, those with a leading - descending; nulls as Spark sorts them.
+
+    Two levels, so that no task sees all rows: bounds of all the order columns together cut the order
+    into buckets (many for each shuffle partition, so that hashing deals them evenly), each numbers its own rows in
+    a window, and a table of one row for each bucket has the offsets. Only rows that are equal in all order columns
+    can't be parted; they take consecutive numbers. One exchange of the rows, and one pass for the bounds as the plan is built.
     """
-    lead = order[0].removeprefix("-")
+    if buckets is None:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(n, min(8 * n, 1024))
     b, n, o, r = ("_bucket", "_rows", "_offset", "_row")
-    held = df.withColumn(b, _as_number(df, lead))
-    cuts = sorted({x for x in held.approxQuantile(b, [i / buckets for i in range(1, buckets)], 0.2 / buckets)})
-    at = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col(b))) if cuts else F.lit(0)
-    held = held.withColumn(b, at if not order[0].startswith("-") else -at)
+    held = df.withColumn(b, bucket(df, order, bounds(df, order, buckets)))
     sizes = held.groupBy(b).agg(F.count(F.lit(1)).alias(n))
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(b, F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long").alias(o))
-    keys = [F.col(x[1:]).desc() if x.startswith("-") else F.col(x).asc() for x in order]
-    ranked = held.withColumn(r, F.row_number().over(Window.partitionBy(b).orderBy(*keys)))
+    ranked = held.withColumn(r, F.row_number().over(Window.partitionBy(b).orderBy(*_keys(order))))
     return ranked.join(F.broadcast(offsets), b).withColumn(name, (F.col(o) + F.col(r) - 1).cast("long")).drop(b, o, r)

@@ -107,3 +107,23 @@ def test_generated_relation(spark):
     a = spark.range(20000).select((F.col("id") + 1).alias("lvalue"), (F.col("id") + 3).alias("rvalue"))
     df = joins.join(a, a)
     assert df.count() == 20000 and df.where("lvalue <> rvalue").count() == 0
+
+
+def test_mpsm_keeps_its_ranges(spark):
+    """Both sides are dealt out once, by ranges that the build keys gave; equal keys are in the same range."""
+    build = spark.range(1, 5001).selectExpr("id * 7 AS lvalue", "id AS rvalue")
+    probe = spark.range(0, 20000).selectExpr("id % 40000 AS lvalue", "id AS rvalue")
+    out = joins.join(build, probe, "mpsm")
+    assert out.count() == joins.join(build, probe, "smj").count() > 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "ENSURE_REQUIREMENTS" not in plan and plan.count("Exchange hashpartitioning(") == 2
+    assert "hashpartitioning(rb" in plan and "hashpartitioning(sb" in plan
+    r, s = joins.ranges(build.selectExpr("lvalue AS rk"), probe.selectExpr("lvalue AS sk"))
+    per = r.groupBy("rb").agg(F.min("rk"), F.max("rk"), F.count(F.lit(1))).orderBy("rb").collect()
+    assert len(per) > 1 and all(a[2] < b[1] for a, b in zip(per, per[1:]))
+    assert r.join(s, F.col("rk") == F.col("sk")).where("rb <> sb").count() == 0
+
+
+def test_free_of_an_unknown_relation(spark):
+    with pytest.raises(ValueError):
+        joins.JoinInstance(spark).free("left")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kvjoin.operators import aggregates, partition, projections, selections, sorts
 from kvjoin.plans.steps import PlanError, run_plan
-from kvjoin.relation import numbered, placed
+from kvjoin.relation import bounds, bucket, numbered, placed
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +103,19 @@ def test_pushdown(spark, tmp_path):
     r = load_column(spark, f"{tmp_path}/t.parquet", "a", "b")
     plan = join(r, r, "smj")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(a)" in plan and "ReadSchema: struct<a:bigint,b:bigint>" in plan
+
+
+def test_numbered_parts_the_order_evenly(spark):
+    """Strings with a long common beginning and a heavy value in the leading column: no bucket has far more rows than others."""
+    names = spark.range(20000).selectExpr("concat('Customer#000', lpad(string(id * 7919 % 20000), 9, '0')) AS t", "id")
+    heavy = spark.range(20000).selectExpr("IF(id % 3 = 0, 5, id % 50) AS t", "id")
+    mixed = spark.range(3000).selectExpr("IF(id % 5 = 0, NULL, concat('it''s ', char(92), string(id % 40))) AS t", "id")
+    for df in (names, heavy, mixed):
+        for order in (["t", "id"], ["-t", "id"]):
+            cuts = bounds(df, order, 32)
+            sizes = [r["count"] for r in df.groupBy(bucket(df, order, cuts).alias("b")).count().collect()]
+            assert len(sizes) == 32 and max(sizes) < 2 * df.count() / 32
+            keys = [F.col("t").desc() if order[0] == "-t" else F.col("t"), F.col("id")]
+            got = [r["id"] for r in numbered(df, order).orderBy("pos").collect()]
+            assert got == [r["id"] for r in df.orderBy(*keys).collect()]
+    assert numbered(names, ["t", "id"]).agg(F.countDistinct("pos"), F.min("pos"), F.max("pos")).first()[:] == (20000, 0, 19999)
