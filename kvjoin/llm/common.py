@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), in which value is computed once however often f, or a function over an array within f, refers to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or a temp folder of this machine where it is unset (local mode, tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

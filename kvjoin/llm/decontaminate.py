@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import fresh, same, table, texts
 
 N = 10
-#: Windows are broadcast while there are at most so many (about 200 bytes each); beyond, they are joined by a shuffle on the hash.
-BROADCAST_WINDOWS = 400_000
+#: Windows are broadcast while there are at most so many (about 200 bytes each), beyond that their hashes alone (about 40 bytes each); with more hashes than that, the documents' hashes are shuffled. Results are the same.
+BROADCAST_WINDOWS, BROADCAST_HASHES = 400_000, 5_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -66,16 +66,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     first = (F.col("len") == lengths[0]) & (F.coalesce(F.col("at"), F.lit(0)) == 0)
     window = F.array_join(F.slice("ws", F.col("at") + 1, F.col("len")), " ")
     on = (F.col("h") == F.col("w_hash")) & (F.col("len") == F.col("w_len"))
+    item = F.struct("at", "len", F.col("w_items").alias("items"))
     if sum(sizes.values()) <= BROADCAST_WINDOWS:
         met = keyed.withColumn("n_words", F.size("ws")).join(F.broadcast(win), on & (window == F.col("w_text")), "left")
-    else:  # each position is shuffled with its window's text alone; those too near the end to have one stay behind
-        near = keyed.where(F.col("h").isNotNull() | first).select("doc_id", "th", F.size("ws").alias("n_words"), "at", "len", F.coalesce("h", "th").alias("h"), window.alias("text"))
-        met = near.join(win, on & (F.col("text") == F.col("w_text")), "left")
-    return met.where(F.col("w_hash").isNotNull() | first).groupBy("doc_id", "th").agg(
-        F.count_if(first).alias("n_rows"),
-        F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(F.col("w_hash").isNotNull(), F.struct("at", "len", F.col("w_items").alias("items")))).alias("hits"),
-    )
+        return met.where(F.col("w_hash").isNotNull() | first).groupBy("doc_id", "th").agg(
+            F.count_if(first).alias("n_rows"),
+            F.max("n_words").alias("n_words"),
+            F.collect_set(F.when(F.col("w_hash").isNotNull(), item)).alias("hits"),
+        )
+    # Positions whose hash is a window's; only these travel with their words, to be verified.
+    hashes = win.select("w_hash").distinct()
+    if sum(sizes.values()) <= BROADCAST_HASHES:
+        near = keyed.join(F.broadcast(hashes), F.col("h") == F.col("w_hash"), "left_semi").select("doc_id", "th", "at", "len", "h", window.alias("text"))
+    else:
+        thin = keyed.where(F.col("h").isNotNull()).select("doc_id", "th", "at", "len", "h").join(hashes, F.col("h") == F.col("w_hash"), "left_semi")
+        whole = docs.select(F.col("doc_id").alias("d2"), F.xxhash64("text").alias("t2"), words(F.col("text")).alias("ws"))
+        near = thin.join(whole, same(F.col("doc_id"), F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "at", "len", "h", window.alias("text"))
+    met = near.join(win, on & (F.col("text") == F.col("w_text"))).groupBy("doc_id", "th").agg(F.collect_set(item).alias("hits"))
+    met = met.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "hits")
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).alias("n"))
+    base = base.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n").alias("n_words"))
+    joined = base.join(met, same(F.col("doc_id"), F.col("d2")) & (F.col("th") == F.col("t2")), "left")
+    return joined.select("doc_id", "th", "n_rows", "n_words", F.coalesce("hits", F.array().cast(met.schema["hits"].dataType)).alias("hits"))
 
 
 def _hit_words() -> Column:
@@ -87,7 +99,8 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
     Null and empty texts have no words and no hits. A null id is an id like others; repeated rows
     each get a row. Null items and items without a word have no windows; a null item_id counts as
-    the empty string. Empty tables give no hits, or no rows.
+    the empty string. Empty tables give no hits, or no rows. Whole texts are scanned, however long;
+    only the named columns are read, so others can't clash.
     """
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
     found = scan(docs, benchmark, n).withColumn("n_hit", F.size(_hit_words()).cast("long")).withColumn("items", items)

@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, texts
 from .textstats import as_bytes
 
-#: Bounds of the labelled sample: documents per language, and languages (the most frequent).
-MAX_PER_LANG, MAX_LANGS = 500, 100
+#: The bound of the labelled sample: documents per language. There is none on languages.
+MAX_PER_LANG = 500
 DIM = 4096
 #: Families by ISO 639-1 codes; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -161,11 +162,15 @@ def sample(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text
     """Vectors and languages: of each sampled document the whole text, and a passage from its middle, so that short texts are learned too."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = d.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return np.zeros((0, DIM), np.float32), np.zeros(0, object)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(1e6 * min(1.0, MAX_PER_LANG / r["count"])) + 1))])
-    d = d.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    # Those with the smallest hashes; a threshold of about twice the bound spares the sort most texts.
+    scale = 1 << 40
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(scale * min(1.0, 2 * MAX_PER_LANG / r["count"])) + 1))])
+    d = d.withColumn("u", F.xxhash64("doc_id", "text")).where(F.pmod("u", F.lit(scale)) < F.try_element_at(share, F.col("lang")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("u", F.lit(scale)), "u", "doc_id"))
+    d = d.withColumn("nth", nth).where(F.col("nth") <= MAX_PER_LANG).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,7 +194,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     A text that is null or has no letter is und, with score 0; so is every text where nothing was
-    learned. Repeated rows and null ids each get their row. docs: as from texts().
+    learned. Repeated rows and null ids each get their row; equal texts have equal results. Whole texts are
+    read, however long. An empty table gives an empty one. docs: as from texts(), so other columns can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_join, materialize, same, table, texts
+from .common import fresh, hot_join, let, materialize, same, table, texts
 
 MIN_RUN = 3
 BLANK = " \t\r"
@@ -35,15 +35,22 @@ def _trimmed(text: Column) -> Column:
 def fingerprints(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, th, f1, f2, windows): a row per fingerprint; windows holds (at, w1, w2) of the windows of min_run lines that contain it."""
     n = min_run
+
+    def found(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v["h"]) - n + 1)
+        w = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(v["h"], i, n)).alias("w1"), F.xxhash64(F.lit(2), F.slice(v["g"], i, n)).alias("w2")))
+        # The last minimum of a window, so that equal windows pick the same line.
+        low = F.transform(starts, lambda i: let(F.slice(v["h"], i, n), lambda x: i + n - F.array_position(F.reverse(x), F.array_min(x)).cast("int")))
+
+        def row(at: Column, w: Column) -> Column:
+            first = F.greatest(F.lit(1), at - n + 1)
+            return F.struct(F.element_at(v["h"], at).alias("f1"), F.element_at(v["g"], at).alias("f2"), F.slice(w, first, at - first + 1).alias("windows"))
+
+        return let(w, lambda w: F.transform(F.array_distinct(low), lambda at: row(at, w)))
+
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.array_remove(_trimmed(F.col("text")), "").alias("ls")).where(F.size("ls") >= n)
-    d = d.select("doc_id", "th", F.transform("ls", lambda x: F.xxhash64(x)).alias("h"), F.transform("ls", lambda x: F.xxhash64(F.lit(1), x)).alias("g"))
-    starts = F.sequence(F.lit(1), F.size("h") - n + 1)
-    d = d.withColumn("w", F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i, n)).alias("w1"), F.xxhash64(F.lit(2), F.slice("g", i, n)).alias("w2"))))
-    # The last minimum of a window, so that equal windows pick the same line.
-    low = F.transform(starts, lambda i: i + n - F.array_position(F.reverse(F.slice("h", i, n)), F.array_min(F.slice("h", i, n))).cast("int"))
-    d = d.withColumn("at", F.explode(F.array_distinct(low)))
-    first = F.greatest(F.lit(1), F.col("at") - n + 1)
-    return d.select("doc_id", "th", F.element_at("h", F.col("at")).alias("f1"), F.element_at("g", F.col("at")).alias("f2"), F.slice("w", first, F.col("at") - first + 1).alias("windows"))
+    both = F.struct(F.transform("ls", lambda x: F.xxhash64(x)).alias("h"), F.transform("ls", lambda x: F.xxhash64(F.lit(1), x)).alias("g"))
+    return d.select("doc_id", "th", F.inline(let(both, found)))
 
 
 def repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -64,19 +71,21 @@ def _with_kept(docs: DataFrame, min_run: int, id_col: str, text_col: str) -> tup
     d, h, s = (fresh(docs, x) for x in ("dup_doc", "dup_text", "dup_starts"))
     found = found.select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("starts").alias(s))
     joined = docs.join(found, same(F.col(id_col), F.col(d)) & (F.xxhash64(F.col(text_col)) == F.col(h)), "left").drop(d, h)
-    gone = F.array_distinct(F.flatten(F.transform(s, lambda x: F.sequence(x, x + min_run - 1))))
-    ls, r = fresh(docs, "dup_lines"), fresh(docs, "dup_gone")
-    joined = joined.withColumn(r, gone).withColumn(ls, F.when(F.col(s).isNotNull(), _lines(F.col(text_col))))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        blank = F.btrim(x, F.lit(BLANK)) == ""
-        n = F.when(blank, acc["n"]).otherwise(acc["n"] + 1)
-        keep = blank | ~F.array_contains(F.col(r), n)
-        return F.struct(n.alias("n"), F.when(keep, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+    gone = F.sort_array(F.array_distinct(F.flatten(F.transform(s, lambda x: F.sequence(x, x + min_run - 1)))))
+    r = fresh(docs, "dup_gone")
+    joined = joined.withColumn(r, F.when(F.col(s).isNotNull(), gone))
+
+    def rest(v: Column) -> Column:
+        """The lines between the removed ones, as pieces; places: of the counted lines among all."""
+        places = F.filter(F.transform(v["lines"], lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) != "", i + 1)), lambda i: i.isNotNull())
+        at = let(places, lambda places: F.transform(v["gone"], lambda p: F.element_at(places, p)))
+        cuts = F.concat(F.array(F.lit(0)), at, F.array(F.size(v["lines"]) + 1))
+        piece = lambda c, i: let(F.element_at(c, i), lambda a: F.slice(v["lines"], a + 1, F.element_at(c, i + 1) - a - 1))
+        return let(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.size(v["gone"]) + 1), lambda i: piece(c, i))))
 
     kept, n = fresh(docs, "dup_kept"), fresh(docs, "dup_n")
-    joined = joined.withColumn(kept, F.when(F.col(ls).isNotNull(), F.aggregate(F.col(ls), start, step, lambda acc: acc["kept"])))
+    both = F.struct(_lines(F.col(text_col)).alias("lines"), F.col(r).alias("gone"))
+    joined = joined.withColumn(kept, F.when(F.col(r).isNotNull(), let(both, rest)))
     joined = joined.withColumn(n, F.coalesce(F.size(F.col(r)), F.lit(0)).cast("long"))
     return joined.select(*docs.columns, kept, n), kept, n
 
@@ -87,8 +96,8 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_
     A run is min_run counted lines or more. Of equal windows the one with the smallest doc_id (then
     hash of the text, then position) stays; a null id comes before all others. Windows are judged on
     the input, so of one line over and over only the first is left. Rows equal in id and text count as one document and get the same text. Blank lines and texts
-    of fewer counted lines stay, null stays null. drop_emptied leaves out documents that lost every
-    counted line.
+    of fewer counted lines stay, null stays null. Work grows with the number of lines of a text, also of a very long one. drop_emptied leaves out documents that lost every
+    counted line. An empty table gives an empty one; other columns pass through whatever their names.
     """
     joined, kept, n = _with_kept(docs, min_run, id_col, text_col)
     out = joined

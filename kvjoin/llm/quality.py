@@ -106,16 +106,18 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int] = MONOTONE) -> Forest:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `most` labelled documents, chosen by a hash of their ids."""
+    """Features and labels of at most `most` labelled documents, chosen by a hash of their ids, in the order of ids. Null ids and labels are left out; of several labels of a document, 1 if half of them are."""
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a broadcast of at most `most` rows
-    found = docs.join(F.broadcast(named), "doc_id").select("y", "text")
+    # Of rows with equal ids one counts: that whose text has the smallest hash.
+    text = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    found = docs.join(F.broadcast(named), "doc_id").groupBy("doc_id", "y").agg(text).select("doc_id", "y", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([stats(t)[1] for t in as_bytes(b.column(1))], pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([stats(t)[1] for t in as_bytes(b.column(2))], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = found.mapInArrow(features, "y int, x array<double>").limit(2 * most).collect()
+    rows = sorted(found.mapInArrow(features, "doc_id long, y int, x array<double>").collect(), key=lambda r: r.doc_id)
     return np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float)
 
 
@@ -123,7 +125,8 @@ def score(docs: DataFrame, forest: Forest, keep: float = KEEP) -> DataFrame:
     """One row per document: doc_id, the BASE counts, base_failed, kept, score.
 
     Null and empty texts have no words, so they fail the base rules. Ids are passed on as they are,
-    null and repeated ones too. An empty table gives an empty one.
+    null and repeated ones too; equal texts have equal rows. Whole texts are counted, however long. An
+    empty table gives an empty one. docs: as from texts(), so other columns can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

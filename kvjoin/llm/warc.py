@@ -90,7 +90,10 @@ def encode(r: Record) -> bytes:
 def decode(raw: bytes) -> Record:
     """One record; raises BadArchive where header, length or digest is wrong."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise BadArchive("header bytes") from e
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise BadArchive(f"version line {lines[0][:40]!r}")
     fields = {}
@@ -103,7 +106,7 @@ def decode(raw: bytes) -> Record:
         if k not in fields:
             raise BadArchive(f"no {k}")
     n = fields["content-length"]
-    if not n.isdigit() or len(rest) != int(n) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not (n.isascii() and n.isdigit()) or len(rest) != int(n) + 4 or rest[-4:] != b"\r\n\r\n":
         raise BadArchive(f"Content-Length {n}, {len(rest) - 4} bytes found")
     block = rest[:-4]
     if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
@@ -239,8 +242,14 @@ def put(path: str, pieces: Iterator[bytes]) -> int:
     return n
 
 
-def read(spark: SparkSession, paths: list[str] | str, content: bool = False, listed: DataFrame | None = None) -> DataFrame:
-    """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload (null in revisits) if content is asked for."""
+def read(spark: SparkSession, paths: list[str] | str, content: bool = False, listed: DataFrame | None = None, bad: str = "raise") -> DataFrame:
+    """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload (null in revisits) if content is asked for.
+
+    bad: "raise" ends the read at a damaged record or archive; "keep" gives a row of type bad instead (url:
+    the archive and what is wrong) and goes on, behind a damaged frame with the next archive.
+    """
+    if bad not in ("raise", "keep"):
+        raise ValueError(f"bad: {bad}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(paths)
     if listed is not None:
         # archives of tasks that ran twice are left out: only what the writer listed counts
@@ -250,9 +259,9 @@ def read(spark: SparkSession, paths: list[str] | str, content: bool = False, lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive in b.column(0):
+            for name, archive in zip(*b.columns, strict=True):
                 rows: list[tuple] = []
-                for r in read_archive(archive.as_py()):
+                for r in records(name.as_py(), archive.as_py()):
                     rows.append((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.kind, r.refers_to, r.payload))
                     if len(rows) == 256:
                         yield _batch(rows, content)
@@ -260,7 +269,21 @@ def read(spark: SparkSession, paths: list[str] | str, content: bool = False, lis
                 if rows:
                     yield _batch(rows, content)
 
-    return files.select("content").mapInArrow(run, schema)
+    def records(name: str, archive: bytes) -> Iterator[Record]:
+        if bad == "raise":
+            yield from read_archive(archive)
+            return
+        wrong = lambda e: Record(None, f"{name}: {e}", "bad", None, 0, "")
+        try:
+            for raw in unpack(archive):
+                try:
+                    yield decode(raw)
+                except BadArchive as e:
+                    yield wrong(e)
+        except BadArchive as e:
+            yield wrong(e)
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], content: bool) -> pa.RecordBatch:

@@ -197,6 +197,24 @@ def test_bad_records(change):
         warc.decode(change(raw))
 
 
+def test_undecodable_header():
+    raw = warc.encode(warc.Record(1, "http://x", "response", b"hello", 5, warc.digest(b"hello")))
+    for change in (raw.replace(b"http://x", b"http://\xff"), raw.replace(b"Content-Length: ", "Content-Length: ²".encode(), 1)):
+        with pytest.raises(warc.BadArchive):
+            warc.decode(change)
+
+
+def test_bad_archives_set_aside(spark, tmp_path):
+    raw = [warc.encode(warc.Record(i, f"http://x/{i}", "response", b"page %d" % i, 6, warc.digest(b"page %d" % i))) for i in range(4)]
+    packed = lambda rs: b"".join(warc.pack(rs, warc.dictionary(rs)))
+    (tmp_path / "a.warc.zst").write_bytes(packed(raw[:1] + [raw[1].replace(b"page 1", b"page 9")] + raw[2:]))
+    (tmp_path / "b.warc.zst").write_bytes(packed(raw)[:-5])
+    with pytest.raises(Exception, match="BadArchive"):
+        warc.read(spark, str(tmp_path)).collect()
+    got = Counter(r["page_id"] for r in warc.read(spark, str(tmp_path), bad="keep").collect())
+    assert got == {0: 2, 1: 1, 2: 2, 3: 1, None: 2}
+
+
 def test_pages(spark, nothing):
     pages = [(5, "u", "same"), (3, "u", "same"), (9, None, "same"), (1, "u", ""), (2, "u", None), (4, "u", "é" * 30000), (None, "u", "same"), (None, "v", "alone"), (3, "u", "same"), (8, "u\n", "other")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
