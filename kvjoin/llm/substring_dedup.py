@@ -9,7 +9,8 @@ starts in a document with a smaller id.
    left out without loss. Equal whole texts count as one text here.
 2. suffixes: those suffixes, WINDOW words deep, are dealt out by a prefix whose length
    varies: as many words as it takes for the estimated number of suffixes with
-   that prefix (from word counts over all documents) to fit a memory-sized group.
+   that prefix (from word counts over all documents) to fit a memory-sized group. There are as many
+   groups as the words need; a task gets its groups sorted and holds one at a time.
 3. trees: each group's suffix tree, cut at WINDOW words, is built as sorted suffixes
    with their longest common prefixes; inner nodes as deep as WINDOW are the
    repeats, and their leaves in other than the smallest document are removed.
@@ -38,6 +39,8 @@ from .textstats import as_bytes, window_hashes, word_hashes
 WINDOW, PART = 13, 7
 #: Suffixes of a memory-sized group (about 60 bytes each), and words after which a map task closes a block.
 GROUP, BLOCK_WORDS = 1_000_000, 3_000_000
+#: Words of all documents for which there is one group of anchors or suffixes.
+GROUP_WORDS = 1_000_000
 SKETCH = 4096
 NO_ID = np.iinfo(np.int64).max
 _LOW48, _LOW24 = np.uint64((1 << 48) - 1), np.uint64((1 << 24) - 1)
@@ -69,14 +72,44 @@ def _four(rows: np.ndarray) -> np.ndarray:
     return out.view("<u4").reshape(len(rows), -1)
 
 
-def even_parts(spark: SparkSession) -> np.ndarray:
-    """A number for each shuffle partition that Spark's hash partitioning sends there, so that as many parts as partitions are dealt evenly."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    to = spark.range(16 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), F.col("id").cast("int").alias("id")).groupBy("p").agg(F.min("id").alias("id")).collect()
-    out = np.arange(n, dtype=np.int64)
-    for r in to:
-        out[r["p"]] = r["id"]
-    return out
+class Groups:
+    """Groups of keys, numbered, and the partitions that they are dealt to evenly: as many groups as the words need, at least one and at most 16 partitions for each that Spark is set to, and several groups in a partition beyond that."""
+
+    def __init__(self, spark: SparkSession, words: int):
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.count = max(n, -(-words // GROUP_WORDS))
+        self.partitions = max(n, min(self.count, 16 * n))
+        p = self.partitions
+        # For each partition a number that Spark's hash partitioning sends there.
+        to = spark.range(16 * p).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(p)).alias("p"), F.col("id").cast("int").alias("id")).groupBy("p").agg(F.min("id").alias("id")).collect()
+        self.number = np.arange(p, dtype=np.int64)
+        for r in to:
+            self.number[r["p"]] = r["id"]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The group of each key, 64 bits."""
+        return (keys.astype(np.uint64, copy=False) % np.uint64(self.count)).astype(np.int64)
+
+    def part(self, group: int) -> int:
+        return int(self.number[group % self.partitions])
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        """df (part, grp, ...) in its partitions, the rows of a group together."""
+        return df.repartition(self.partitions, "part").sortWithinPartitions("grp")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows, without part and grp, of one group after the other."""
+    rows, last = [], None
+    for b in batches:
+        for _, g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and g != last:
+                yield rows
+                rows = []
+            rows.append(row)
+            last = g
+    if rows:
+        yield rows
 
 
 def anchor_of_windows(words: np.ndarray, window: int = WINDOW, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
@@ -114,34 +147,32 @@ def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[rows[0]]), rows
 
 
-def _packed(rows: list[tuple[int | None, int, bytes]], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, t8, positions) as one row for each part that t8 belongs to, so that tasks exchange parts and not documents."""
+PACKED = "part int, grp int, d binary, n binary, at binary"
+
+
+def _packed(rows: list[tuple[int | None, int, bytes]], groups: Groups) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, t8, positions) as one row for each group that t8 belongs to, so that tasks exchange groups and not documents."""
     if not rows:
         return
     key = np.array([(NO_ID if d is None else d, t) for d, t, _ in rows], np.int64)
     out = []
-    for p, r in _by(parts[key[:, 1] % len(parts)]):
+    for g, r in _by(key[:, 1] % groups.count):
         at = [np.frombuffer(rows[i][2], np.int32) for i in r]
-        out.append((p, _z(key[r]), _z(np.array([len(x) for x in at], np.uint32)), _z(np.concatenate(at))))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "d", "n", "at"])
+        out.append((groups.part(g), g, _z(key[r]), _z(np.array([len(x) for x in at], np.uint32)), _z(np.concatenate(at))))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "grp", "d", "n", "at"])
 
 
-def _gathered(packed: DataFrame) -> DataFrame:
+def _gathered(packed: DataFrame, groups: Groups) -> DataFrame:
     """(doc_id, t8, at): one row for each (doc_id, t8), with all its positions."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ds, ats = [], []
-        for b in batches:
-            for d, n, at in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                ds.append(np.repeat(_u(d, np.int64, 2), _u(n, np.uint32), axis=0))
-                ats.append(_u(at, np.int32))
-        if ds:
-            d = np.concatenate(ds)
-            out = _removed(d[:, 0], d[:, 1], np.concatenate(ats))
+        for rows in _by_group(batches):
+            d = np.concatenate([np.repeat(_u(d, np.int64, 2), _u(n, np.uint32), axis=0) for d, n, _ in rows])
+            out = _removed(d[:, 0], d[:, 1], np.concatenate([_u(at, np.int32) for *_, at in rows]))
             for k in range(0, len(out), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 5000], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "t8", "at"])
 
-    return packed.repartition("part").mapInArrow(merge, "doc_id long, t8 long, at binary")
+    return groups.deal(packed).mapInArrow(merge, "doc_id long, t8 long, at binary")
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -160,7 +191,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return got
 
 
-def repeated_anchors(docs: DataFrame, parts: np.ndarray, window: int = WINDOW, part: int = PART) -> DataFrame:
+def repeated_anchors(docs: DataFrame, groups: Groups, window: int = WINDOW, part: int = PART) -> DataFrame:
     """(t8, ats): where anchors of the text with hash t8 start that another text has too. docs: (t8, text)."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,24 +218,26 @@ def repeated_anchors(docs: DataFrame, parts: np.ndarray, window: int = WINDOW, p
             first = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             shared = (np.maximum.reduceat(d, first) != d[first])[group]  # known here to be repeated
-            out: list[tuple[int, int, bytes, bytes, bytes]] = []
+            out: list[tuple] = []
+            # What is decided here only passes through the next task, dealt by text and not by hash.
+            of = key % groups.count
             for doc, r in _by(np.where(shared, d.astype(np.int64), NO_ID)):
                 if doc != NO_ID:
-                    out.append((int(parts[int(h[r[0]]) % len(parts)]), int(key[doc]), _z(at[r]), b"", b""))
+                    out.append((groups.part(of[doc]), int(of[doc]), int(key[doc]), _z(at[r]), b"", b""))
             send = np.where(shared, new, True)
             h, at, d = h[send], at[send], d[send]
             order = np.lexsort((at, d))
             h, at, d = h[order], at[order], d[order]
-            for p, r in _by(parts[(h % np.uint64(len(parts))).astype(np.int64)]):
+            for g, r in _by(groups.of(h)):
                 six = np.ascontiguousarray(h[r].view(np.uint8).reshape(-1, 8)[:, :6])
                 own, index = np.unique(d[r], return_inverse=True)
-                out.append((p, None, _z(at[r]), _z(six), _z(np.concatenate((key[own], index.astype(np.int64), [len(own)])))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "t8", "at", "h", "d"])
+                out.append((groups.part(g), g, None, _z(at[r]), _z(six), _z(np.concatenate((key[own], index.astype(np.int64), [len(own)])))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "grp", "t8", "at", "h", "d"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ats, ts, out = [], [], [], []
-        for b in batches:
-            for _, t8, at, h, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for rows in _by_group(batches):
+            hs, ats, ts, out = [], [], [], []
+            for t8, at, h, d in rows:
                 if t8 is not None:
                     out.append((None, t8, _u(at, np.uint32).astype(np.int32).tobytes()))
                     continue
@@ -216,20 +249,18 @@ def repeated_anchors(docs: DataFrame, parts: np.ndarray, window: int = WINDOW, p
                 both = _u(d, np.int64)
                 n = both[-1]
                 ts.append(both[:n][both[n:-1]])
-        if not hs:
-            yield from _packed(out, parts)
-            return
-        h, at, t = map(np.concatenate, (hs, ats, ts))
-        hs, ats, ts = [], [], []
-        order = np.argsort(h, kind="stable")
-        h, at, t = h[order], at[order], t[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        shared = np.repeat(np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first), np.diff(np.append(first, len(h))))
-        at, t = at[shared], t[shared]
-        yield from _packed(out + [(None, t8, at[r].tobytes()) for t8, r in _by(t)], parts)
-
-    sent = docs.select("t8", "text").mapInArrow(select, "part int, t8 long, at binary, h binary, d binary")
-    return _gathered(sent.repartition("part").mapInArrow(meet, "part int, d binary, n binary, at binary")).select("t8", F.array("at").alias("ats"))
+            if hs:
+                h, at, t = map(np.concatenate, (hs, ats, ts))
+                order = np.argsort(h, kind="stable")
+                h, at, t = h[order], at[order], t[order]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                shared = np.repeat(np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first), np.diff(np.append(first, len(h))))
+                at, t = at[shared], t[shared]
+                out += [(None, t8, at[r].tobytes()) for t8, r in _by(t)]
+            yield from _packed(out, groups)
+
+    sent = docs.select("t8", "text").mapInArrow(select, "part int, grp int, t8 long, at binary, h binary, d binary")
+    return _gathered(groups.deal(sent).mapInArrow(meet, PACKED), groups).select("t8", F.array("at").alias("ats"))
 
 
 class Prefixes:
@@ -297,7 +328,7 @@ def _removed(doc: np.ndarray, t8: np.ndarray, start: np.ndarray) -> list[tuple[i
     return out
 
 
-def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: np.ndarray) -> DataFrame:
+def later_repeats(docs: DataFrame, prefixes: Prefixes, groups: Groups) -> DataFrame:
     """(doc_id, t8, starts): windows whose words also start in a document with a smaller id. docs: (doc_id, t8, text, ats), a row per text."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,20 +355,23 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: np.ndarray) -> Dat
             deep = np.lib.stride_tricks.sliding_window_view((words & _LOW24).astype(np.uint32), WINDOW)[s]
             check = window_hashes(words, WINDOW)[s]
             later, one = repeats(deep, check, doc[of])
-            out = [(int(parts[t8 % len(parts)]), i, t8, x, b"", b"", b"") for i, t8, x in _removed(doc[of[later]], key[of[later]], start[later])]
+            out: list[tuple] = []
+            for i, t8, x in _removed(doc[of[later]], key[of[later]], start[later]):
+                g = t8 % groups.count
+                out.append((groups.part(g), g, i, t8, x, b"", b"", b""))
             one = np.sort(one)  # by text and position, which compresses well
-            for p, r in _by(parts[(prefixes.group(deep[one]) % np.uint64(len(parts))).astype(np.int64)]):
+            for g, r in _by(groups.of(prefixes.group(deep[one]))):
                 k = one[r]
                 own, index = np.unique(of[k], return_inverse=True)
                 at = np.stack((index, start[k]), 1).astype(np.uint32)
-                out.append((p, None, None, _z(np.stack((doc[own], key[own]), 1)), _z(_three(deep[k])), _z(check[k]), _z(at)))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "doc_id", "t8", "starts", "s", "c", "at"])
+                out.append((groups.part(g), g, None, None, _z(np.stack((doc[own], key[own]), 1)), _z(_three(deep[k])), _z(check[k]), _z(at)))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "grp", "doc_id", "t8", "starts", "s", "c", "at"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ss, cs, ds, ats, out = [], [], [], [], []
-        for b in batches:
-            for _, doc, t8, starts, s, c, at in zip(*(x.to_pylist() for x in b.columns), strict=True):
+        for rows in _by_group(batches):
+            ss, cs, ds, ats, out = [], [], [], [], []
+            for doc, t8, starts, s, c, at in rows:
                 if t8 is not None:
                     out.append((doc, t8, starts))
                 else:
@@ -346,21 +380,18 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, parts: np.ndarray) -> Dat
                     cs.append(_u(c, np.uint64))
                     ds.append(_u(starts, np.int64, 2)[both[:, 0]])
                     ats.append(both[:, 1])
-        if not ss:
-            yield from _packed(out, parts)
-            return
-        s, c, d, at = map(np.concatenate, (ss, cs, ds, ats))
-        ss, cs, ds, ats = [], [], [], []
-        found = []
-        for _, r in _by(prefixes.group(s).view(np.int64)):  # a subtree for each prefix
-            later, _ = repeats(s[r], c[r], d[r, 0])
-            found.append(r[later])
-        later = np.concatenate(found)
-        yield from _packed(out + _removed(d[later, 0], d[later, 1], at[later]), parts)
-
-    sent = docs.mapInArrow(combine, "part int, doc_id long, t8 long, starts binary, s binary, c binary, at binary")
-    found = sent.repartition("part").mapInArrow(trees, "part int, d binary, n binary, at binary")
-    return _gathered(found).select("doc_id", "t8", F.array("at").alias("starts"))
+            if ss:
+                s, c, d, at = map(np.concatenate, (ss, cs, ds, ats))
+                found = []
+                for _, r in _by(prefixes.group(s).view(np.int64)):  # a subtree for each prefix
+                    later, _ = repeats(s[r], c[r], d[r, 0])
+                    found.append(r[later])
+                later = np.concatenate(found)
+                out += _removed(d[later, 0], d[later, 1], at[later])
+            yield from _packed(out, groups)
+
+    sent = docs.mapInArrow(combine, "part int, grp int, doc_id long, t8 long, starts binary, s binary, c binary, at binary")
+    return _gathered(groups.deal(sent).mapInArrow(trees, PACKED), groups).select("doc_id", "t8", F.array("at").alias("starts"))
 
 
 def covered(n: int, starts: list[bytes] | None) -> np.ndarray:
@@ -375,18 +406,18 @@ def covered(n: int, starts: list[bytes] | None) -> np.ndarray:
 
 def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with copy (an equal text has a smaller id) and starts (windows to remove)."""
-    parts = even_parts(docs.sparkSession)
+    counts = word_counts(docs)
+    prefixes, groups = Prefixes(counts), Groups(docs.sparkSession, int(counts.sum()))
     d = docs.withColumn("t8", F.xxhash64("text")).withColumn("md", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    prefixes = Prefixes(word_counts(docs))
     own = d.groupBy("t8", "md").agg(F.min("doc_id").alias("first"))
-    near = repeated_anchors(d, parts)
+    near = repeated_anchors(d, groups)
     # One row for each text: its own document's id and its anchors.
     known = own.join(near.withColumnRenamed("t8", "k8"), F.col("t8") == F.col("k8"), "left").select("t8", "md", "first", "ats")
     me = hot_join(d, known, ["t8", "md"])
     # Equality as a difference, which the planner doesn't take for one more join key: both joins with d then share its exchange.
     apart = F.coalesce("doc_id", F.lit(NO_ID)).bitwiseXOR(F.coalesce("first", F.lit(NO_ID)))
     mine = me.where((apart == 0) & F.col("ats").isNotNull()).select("doc_id", "t8", "text", "ats")
-    gone = later_repeats(mine, prefixes, parts).withColumnsRenamed({"doc_id": "g_id", "t8": "g8"})
+    gone = later_repeats(mine, prefixes, groups).withColumnsRenamed({"doc_id": "g_id", "t8": "g8"})
     told = own.join(gone, same(F.col("first"), F.col("g_id")) & (F.col("t8") == F.col("g8")), "left").select("t8", "md", "first", "starts")
     copy = F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
     return hot_join(d, told, ["t8", "md"]).select("doc_id", "text", F.coalesce(copy, F.lit(False)).alias("copy"), "starts")
@@ -404,7 +435,8 @@ def report(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words; texts of fewer than 13 words lose none. A null id comes after
     all others, and documents with null ids don't remove from each other. Rows with equal ids don't
-    either; equal rows each get their row.
+    either; equal rows each get their row. Whole texts are searched, however long. An empty table gives an
+    empty one; only doc_id and text are read, so other columns can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,3 +454,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM d),
+p AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS t FROM d, LATERAL (SELECT unnest(generate_series(1, len(ws) - {WINDOW - 1})) AS i)),
+f AS (SELECT t, min(doc_id) AS first FROM p GROUP BY t),
+g AS (SELECT DISTINCT doc_id, i + j AS i FROM p JOIN f USING (t), (SELECT unnest(range({WINDOW})) AS j) WHERE doc_id > first),
+k AS (SELECT w.doc_id, count(g.i) AS n_removed, string_agg(w.x, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS kept FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

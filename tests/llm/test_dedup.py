@@ -113,6 +113,40 @@ def test_near_dedup_chain_and_group(spark):
     assert got == brute_classes(docs)
 
 
+def test_near_dedup_hot_group(spark, monkeypatch):
+    """Variants of one text at all similarities, and no original: all links of brute force are found, round by round and at once."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8])):
+            w[rng.randrange(160)] = f"e{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    want = brute_classes(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for linear in (near_dedup.LINEAR, 0):
+        monkeypatch.setattr(near_dedup, "LINEAR", linear)
+        got = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.report(df).collect())
+        assert sum((got & want).values()) >= 0.99 * len(docs)
+
+
+def test_bound_of_bitmaps():
+    """may_link() in plain Python: it never rules out a pair that similarity() links."""
+    rng = random.Random(5)
+    for _ in range(300):
+        a = [rng.randrange(200) for _ in range(rng.randrange(5, 120))]
+        b = a[: rng.randrange(3, len(a) + 1)] + [rng.randrange(200) for _ in range(rng.randrange(8))]
+        (x, u), (y, v) = (np.unique(np.array(z, np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_counts=True) for z in (a, b))
+        s = near_dedup.similarity(x, u, y, v)
+        p, q = (near_dedup.bitmap(z, np.zeros(len(z), int), 1)[0] for z in (x, y))
+        both, limit = int((p & q).sum()), near_dedup.SIMILARITY
+        sets = (len(x) + len(y)) * limit / (1 + limit) - min(len(x) - p.sum(), len(y) - q.sum())
+        masses = max(p.sum() - u.sum() * (1 - limit), q.sum() - v.sum() * (1 - limit))
+        need = sets if (u == 1).all() and (v == 1).all() else min(sets, masses)
+        assert s < limit or both >= need - 1e-6
+
+
 # Substring dedup
 def brute_substrings(docs, n=13):
     first = {}
@@ -145,6 +179,8 @@ def test_substrings(spark, edge, edge_rows, nothing, monkeypatch):
     assert got() == want
     monkeypatch.setattr(substring_dedup, "GROUP", 5)  # long prefixes
     assert got() == want
+    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 20)  # many groups in a partition
+    assert got() == want
     assert substring_dedup.report(nothing).count() == 0
 
 

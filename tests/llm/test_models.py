@@ -49,6 +49,39 @@ def test_base(edge, edge_rows, spark):
     assert Counter(tuple(r)[:8] for r in got) == want
 
 
+def test_quality_by_brute_force(edge, edge_rows):
+    """Score and verdict against a recursive walk of each tree."""
+    rng = np.random.default_rng(7)
+    x = rng.random((2000, len(textstats.FEATURES))) * 3
+    forest = quality.fit(x, (x[:, 2] - x[:, 9] + rng.random(2000) < 0.5).astype(float))
+
+    def walk(at, v):
+        if forest.left[at] < 0:
+            return forest.value[at]
+        return walk(forest.left[at] if v[forest.feature[at]] <= forest.threshold[at] else forest.right[at], v)
+
+    want = Counter()
+    for r in edge_rows:
+        base, v = textstats.stats(None if r[1] is None else r[1].encode())
+        p = 1 / (1 + np.exp(-(forest.base + sum(walk(root, v) for root in forest.roots))))
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        want[r[0], round(p, 9), failed, not failed and p >= quality.KEEP] += 1
+    got = quality.score(texts(edge), forest).collect()
+    assert Counter((r["doc_id"], round(r["score"], 9), r["base_failed"], r["kept"]) for r in got) == want
+
+
+def test_quality_sample(edge, nothing, spark):
+    """Null, missing, repeated and unknown labels; the sample doesn't depend on the layout."""
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (2, 0), (5, 1), (None, 1), (999, 1), (3, 0), (3, 0)], "doc_id long, quality int")
+    one = quality.sample(texts(edge), labels)
+    other = quality.sample(texts(edge.repartition(1)), labels.repartition(5))
+    assert one[1].tolist() == [1, 0, 0, 1] and all((a == b).all() for a, b in zip(one, other, strict=True))
+    for docs, lab in ((nothing, labels), (edge, labels.limit(0))):
+        x, y = quality.sample(texts(docs), lab)
+        assert x.shape == (0, len(textstats.FEATURES)) and len(y) == 0
+        assert quality.score(texts(docs), quality.fit(x, y)).count() == docs.count()
+
+
 def test_trees_are_monotone_and_right():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(textstats.FEATURES)))
@@ -115,6 +148,47 @@ def test_language_ignores_held_out(tongues):
     assert (a[0] == b[0]).all() and list(a[1]) == list(b[1])
 
 
+def test_language_by_brute_force(tongues):
+    """Predictions against plain loops over the fitted machines: one-versus-rest for the family, then a vote of each pair."""
+    model = language.fit(*language.sample(tongues))
+    got = {(r["doc_id"]): (r["lang_pred"], r["score"]) for r in language.predict(texts(tongues), model).collect()}
+    seen = 0
+    for r in tongues.select("doc_id", "text").limit(150).collect():
+        text = (r["text"] or "").encode()
+        if not language.has_letter(text):
+            assert got[r["doc_id"]] == ("und", 0)
+            continue
+        v = language.vector(text).astype(float)
+        prob = lambda m: 1 / (1 + np.exp(-min(max(m.slope * (float(np.dot(v, m.w)) + m.b) + m.shift, -30), 30)))
+        names = sorted(model.families)
+        p = [prob(model.family[f]) for f in names] if len(names) > 1 else [1.0]
+        best = max(range(len(names)), key=lambda i: p[i])
+        langs, score = model.families[names[best]], p[best] / sum(p)
+        votes, mass = Counter(), Counter()
+        for i, a in enumerate(langs):
+            for b in langs[i + 1 :]:
+                q = prob(model.pair[a, b])
+                votes[a if q >= 0.5 else b] += 1
+                mass[a] += q
+                mass[b] += 1 - q
+        win = max(langs, key=lambda x: (votes[x] + 1e-3 * mass[x], -langs.index(x)))
+        if len(langs) > 1:
+            score *= mass[win] / (len(langs) - 1)
+        assert got[r["doc_id"]][0] == win and got[r["doc_id"]][1] == pytest.approx(score, abs=1e-4)
+        seen += 1
+    assert seen > 50
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows equal in id and text, a hot language, and more languages than ever had a cap."""
+    monkeypatch.setattr(language, "MAX_PER_LANG", 7)
+    monkeypatch.setattr(language, "held_out", lambda c: F.lit(False))
+    rows = [(1, "the same words here", "hot")] * 300 + [(i, f"words and {'abcdefghij'[i % 10] * 3}", "hot") for i in range(900)] + [(5000 + i, "uno dos tres", f"l{i % 130}") for i in range(520)]
+    x, y = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = Counter(y)
+    assert len(n) == 131 and max(n.values()) <= 14 and n["hot"] == 14 and len(x) == len(y)
+
+
 # Toxicity
 def small_index(n=300, seed=4):
     rng = random.Random(seed)

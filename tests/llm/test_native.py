@@ -222,3 +222,23 @@ def test_native_plans(edge, bench):
     for df in (license_scan.scan(edge), decontaminate.report(texts(edge), bench[1]), mixing.mix(edge), line_dedup.report(edge)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|Cartesian|BroadcastNestedLoop", plan)
+
+
+def test_decontaminate_paths_agree(spark, edge, edge_rows, monkeypatch):
+    """Windows broadcast, hashes broadcast, and hashes shuffled give the same rows."""
+    bench = spark.createDataFrame([(1, edge_rows[18][1]), (2, "déjà vu"), (3, "one"), (4, None), (5, edge_rows[0][1])], "item_id long, text string")
+    rows = lambda: Counter(map(str, decontaminate.report(texts(edge), bench).collect()))
+    want = rows()
+    assert any("contaminated=True" in r for r in want)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert rows() == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
+    assert rows() == want
+
+
+def test_line_dedup_of_a_long_text(spark):
+    """200,000 lines: linear, or this takes minutes."""
+    lines = [f"line {i}" for i in range(100_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines + lines)), (2, "\n\n".join(["new", *lines[:7]]))], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()}
+    assert out == {1: "\n".join(lines), 2: "new\n" + "\n" * 6}
