@@ -40,10 +40,10 @@ WINDOW, PART = 13, 7
 #: Suffixes of a memory-sized group (about 60 bytes each), and words after which a map task closes a block.
 GROUP, BLOCK_WORDS = 1_000_000, 3_000_000
 #: Words of all documents for which there is one group of anchors or suffixes.
-GROUP_WORDS = 1_000_000
+GROUP_WORDS = 2_000_000
 SKETCH = 4096
 NO_ID = np.iinfo(np.int64).max
-_LOW48, _LOW24 = np.uint64((1 << 48) - 1), np.uint64((1 << 24) - 1)
+_LOW48, _LOW16 = np.uint64((1 << 48) - 1), np.uint64((1 << 16) - 1)
 
 
 def _z(a: np.ndarray) -> bytes:
@@ -61,17 +61,6 @@ def _u(b: bytes, kind: type, width: int = 0) -> np.ndarray:
     return out.reshape(-1, width) if width else out.reshape(-1)
 
 
-def _three(words: np.ndarray) -> np.ndarray:
-    """Rows of words below 2**24 as three bytes each."""
-    return np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(len(words), -1, 4)[:, :, :3]).reshape(len(words), -1)
-
-
-def _four(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), rows.shape[1] // 3, 4), np.uint8)
-    out[:, :, :3] = rows.reshape(len(rows), -1, 3)
-    return out.view("<u4").reshape(len(rows), -1)
-
-
 class Groups:
     """Groups of keys, numbered, and the partitions that they are dealt to evenly: as many groups as the words need, at least one and at most 16 partitions for each that Spark is set to, and several groups in a partition beyond that."""
 
@@ -289,9 +278,9 @@ class Tree:
     """Suffix tree of the given suffixes, cut at WINDOW words: suffixes in sorted order and the longest common prefix, in words, of each with the one before it. An inner node of depth n is a longest run of suffixes whose common prefixes are n at least."""
 
     def __init__(self, suffixes: np.ndarray, check: np.ndarray):
-        """suffixes: (n, WINDOW), 24 bits of each word's hash; check: 64-bit hash of the words' whole hashes, which tells suffixes of depth WINDOW apart."""
-        both = np.concatenate((suffixes, check.view(np.uint32).reshape(-1, 2)), 1)
-        rows = np.ascontiguousarray(both).view(np.dtype((np.void, both.shape[1] * 4))).reshape(-1)
+        """suffixes: (n, WINDOW), bits of each word's hash; check: 64-bit hash of the words' whole hashes, which tells suffixes of depth WINDOW apart."""
+        both = np.concatenate((suffixes, np.ascontiguousarray(check).view(suffixes.dtype).reshape(len(check), -1)), 1)
+        rows = np.ascontiguousarray(both).view(np.dtype((np.void, both.shape[1] * both.itemsize))).reshape(-1)
         self.order = np.argsort(rows)
         s = both[self.order]
         same_ = s[1:] == s[:-1]
@@ -352,7 +341,7 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, groups: Groups) -> DataFr
                 continue
             doc, key, first = np.array(keys, np.int64).T
             start = s - first[of]
-            deep = np.lib.stride_tricks.sliding_window_view((words & _LOW24).astype(np.uint32), WINDOW)[s]
+            deep = np.lib.stride_tricks.sliding_window_view((words & _LOW16).astype(np.uint16), WINDOW)[s]
             check = window_hashes(words, WINDOW)[s]
             later, one = repeats(deep, check, doc[of])
             out: list[tuple] = []
@@ -364,7 +353,7 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, groups: Groups) -> DataFr
                 k = one[r]
                 own, index = np.unique(of[k], return_inverse=True)
                 at = np.stack((index, start[k]), 1).astype(np.uint32)
-                out.append((groups.part(g), g, None, None, _z(np.stack((doc[own], key[own]), 1)), _z(_three(deep[k])), _z(check[k]), _z(at)))
+                out.append((groups.part(g), g, None, None, _z(np.stack((doc[own], key[own]), 1)), _z(np.ascontiguousarray(deep[k])), _z(check[k]), _z(at)))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "grp", "doc_id", "t8", "starts", "s", "c", "at"])
 
@@ -376,7 +365,7 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, groups: Groups) -> DataFr
                     out.append((doc, t8, starts))
                 else:
                     both = _u(at, np.uint32, 2)
-                    ss.append(_four(_u(s, np.uint8, 3 * WINDOW)))
+                    ss.append(_u(s, np.uint16, WINDOW))
                     cs.append(_u(c, np.uint64))
                     ds.append(_u(starts, np.int64, 2)[both[:, 0]])
                     ats.append(both[:, 1])
