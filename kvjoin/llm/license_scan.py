@@ -25,6 +25,9 @@ SENTENCES = {
     "mit-licensed": "Licensed under the MIT License.",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -32,6 +35,9 @@ SENTENCES = {
     "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "gpl-fitness": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-see": "See the GNU General Public License for more details.",
@@ -41,6 +47,9 @@ SENTENCES = {
     "cc0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "public-domain": "This work is in the public domain.",
     "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "bsl1": "Distributed under the Boost Software License, Version 1.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
     "rights-reserved": "All rights reserved.",
 }
 #: Licence rules in order of precedence: (licence, its sentences in order).
@@ -49,15 +58,20 @@ RULES = [
     ("Apache-2.0", ["apache-named", "apache-not-use", "apache-copy"]),
     ("Apache-2.0", ["apache-short"]),
     ("Apache-2.0", ["apache-named"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-short"]),
     ("MIT", ["mit-licensed"]),
+    ("ISC", ["isc-grant"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-fitness", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-fitness", "gpl-see"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gpl2-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
     ("GPL-3.0-only", ["gpl3-short"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
@@ -65,6 +79,9 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("Public-Domain", ["public-domain"]),
     ("MPL-2.0", ["mpl2"]),
+    ("EPL-2.0", ["epl2"]),
+    ("BSL-1.0", ["bsl1"]),
+    ("Unlicense", ["unlicense"]),
     ("LicenseRef-All-Rights-Reserved", ["rights-reserved"]),
 ]
 END = r"([.;:!?])[ \t\r]+"
@@ -96,7 +113,8 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
     wrapped, with comment marks, or hold breaks of sentences or blank lines (as the Apache header does
     before its URL). It counts once in n_known; n_sentences counts the pieces.
     Unknown sentences between known ones don't break a rule's sequence. Null and empty texts have
-    no sentences and no licences. Repeated rows and null ids each get their row.
+    no sentences and no licences. Whole texts are scanned, however long. Repeated rows and null ids each get
+    their row. An empty table gives an empty one; only the named columns are read, so others can't clash.
     """
     known, rules = known or SENTENCES, rules or RULES
     ids = {normal(s): k for k, s in known.items() if normal(s)}
@@ -130,7 +148,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> str:
+    """The same in SQL. Pieces are set apart by two breaks, so that neighbours don't compete for one."""
     sql = ",\n".join(f"('{normal(s)}', '{k}')" for k, s in known.items())
+    forms = "|".join(normal(s).replace(" ", "(?: |\\n\\n)") for s in sorted(known.values(), key=lambda s: (-len(normal(s)), normal(s))))
     steps, names, counts, prev = [], [], [], "q"
     for i, (name, seq) in enumerate(rules):
         pattern = "".join(f"<{x}>" for x in seq)
@@ -145,7 +165,8 @@ def oracle(known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]]
     return f"""
 WITH known(s, id) AS (VALUES {sql}),
 d AS (SELECT doc_id, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{END}', '\\1' || chr(10), 'g'), '[^A-Za-z0-9\\n]+', ' ', 'g')), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
-e AS (SELECT doc_id, i, ss[i] AS s FROM d, LATERAL (SELECT unnest(generate_series(1, len(ss))) AS i)),
+e AS (SELECT doc_id, replace(unnest(hits), chr(10) || chr(10), ' ') AS s, unnest(range(1, len(hits) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(chr(10) || array_to_string(ss, chr(10) || chr(10)) || chr(10), '\\n({forms})\\n', 1) AS hits FROM d)),
 k AS (SELECT doc_id, count(*) AS n_known, string_agg('<' || id || '>', '' ORDER BY i) AS seq FROM e JOIN known USING (s) GROUP BY doc_id),
 q AS (SELECT doc_id, len(ss) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(seq, '') AS seq FROM d LEFT JOIN k USING (doc_id)),
 {",".join(steps)}
