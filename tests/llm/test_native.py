@@ -129,6 +129,21 @@ def test_wrapped_licenses(spark, mark, end):
     assert Counter((r["doc_id"], r["licenses"], r["n_known"], r["n_matches"], r["unmatched"]) for r in got) == Counter((i, rules[i][0], len(rules[i][1]), 1, "") for i, _ in docs)
 
 
+def test_license_oracle_on_wrapped_texts(spark):
+    """The SQL oracle and the operator agree on sentences in pieces, next to each other and repeated."""
+    import duckdb
+
+    s, rules = license_scan.SENTENCES, license_scan.RULES
+    docs = [(i, "\n".join("# " + x for k in ids for x in textwrap.wrap(s[k], 50)) + f"\n{s['mit-short']} {s['mit-short']}\n{s['gpl-see']}") for i, (_, ids) in enumerate(rules)]
+    docs += [(1000, None), (1001, ""), (1002, " ".join(s.values()))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"))
+    cur = con.execute(f"SELECT {', '.join(got.columns)} FROM ({license_scan.ORACLE})")
+    assert rows(got) == Counter(tuple(map(str, r)) for r in cur.fetchall())
+
+
 # Mixing
 def brute_mix(docs, weights, seed=mixing.SEED):
     n = Counter(s for _, s in docs)
