@@ -265,7 +265,7 @@ _select("sel_in_string", "orders", "o_orderkey", lambda: selections.is_in(F.col(
 _select("sel_between_8b", "lineitem", _LI, lambda: selections.between(F.col("l_discount"), 0.02, 0.06, True), "l_discount > 0.02 AND l_discount < 0.06")
 _select("sel_between_int64", "part", "p_partkey", lambda: selections.between(F.col("p_size"), 10, 20), "p_size BETWEEN 10 AND 20")
 _select("sel_between_date", "orders", "o_orderkey", lambda: selections.between(F.col("o_orderdate"), F.lit("1995-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp")), "o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'")
-_select("sel_string_contains", "part", "p_partkey", lambda: selections.contains(F.col("p_name"), "1"), "contains(p_name, '1')")
+_select("sel_string_contains", "part", "p_partkey", lambda: selections.contains(F.col("p_name"), "g"), "contains(p_name, 'g')")
 _select("sel_string_prefix", "orders", "o_orderkey", lambda: selections.is_prefix_of(F.col("o_orderstatus"), "FO"), "starts_with('FO', o_orderstatus)")
 add("sel_encoded_string", "SELECT p_partkey FROM (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM part WHERE p_brand IS NOT NULL) WHERE code <= 3")(
     lambda s, d: selections.encode(table(s, d, "part"), "p_brand").where(selections.compare(F.col("code"), 1, 3, True)).select("p_partkey")
