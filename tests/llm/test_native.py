@@ -175,7 +175,7 @@ def test_mixing_large_rates_and_totals(spark, nothing):
     df = spark.range(200).selectExpr("id AS doc_id", "'t' AS text", "if(id < 2, 'small', 'big') AS source")
     out = mixing.mix(df, {"small": 1.0, "big": 1e-9}, total=4000, details=True)
     n = {r["doc_id"]: r["n_copies"] for r in out.select("doc_id", "n_copies").distinct().collect()}
-    assert set(n) <= {0, 1, *n} and all(abs(n[i] - 2000) < 300 for i in (0, 1))
+    assert set(n) == {0, 1} and all(abs(n[i] - 2000) < 300 for i in (0, 1))
     mean = mixing.mix(spark.range(4000).selectExpr("id AS doc_id", "'s' AS source"), {"s": 1.0}, total=10000).count()
     assert abs(mean - 10000) < 500
     assert mixing.mix(nothing).count() == 0
