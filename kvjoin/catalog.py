@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvjoin.functions import hashes as H
-from kvjoin.operators import aggregates, joins, partition, projections, selections, sorts
+from kvjoin.operators import aggregates, joins, partition, probing, projections, selections, sorts
 from kvjoin.plans import steps
 from kvjoin.relation import BANKS, load_column, nonzero, padding, placed, relation, violations
+from kvjoin.sources import tables as blocks
+from kvjoin.streaming.probe import run_probe
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -194,6 +197,72 @@ add("finish_join", f"SELECT * FROM ({_sql_join('_nation_customer')})")(
 )
 
 
+# Slots of the linear-probing tables
+def _sql_laps(keys: str, parts: str) -> str:
+    return f"""SELECT part, lvalue, home, lap, max(x - i) OVER (PARTITION BY part ORDER BY i ROWS UNBOUNDED PRECEDING) + i AS z
+      FROM (SELECT part, lvalue, home, lap, home + lap * {H.SLOTS} AS x, row_number() OVER (PARTITION BY part ORDER BY home + lap * {H.SLOTS}, lvalue) AS i
+            FROM ({_sql_homes(f'SELECT DISTINCT lvalue FROM ({keys}) WHERE lvalue <> 0', parts)}), (SELECT unnest(range(3)) AS lap))"""
+
+
+def _sql_homes(keys: str, parts: str) -> str:
+    return f"SELECT * EXCLUDE (h, parts, t), h & (parts - 1) AS part, {_sql_table('lvalue', H.JOIN_MASK)} & {H.SLOTS - 1} AS home FROM ({_sql_glb(keys)}), (SELECT {parts}::BIGINT AS parts), (SELECT {_CRC} AS t)"
+
+
+def _sql_slots(keys: str, parts: str) -> str:
+    return f"SELECT part, lvalue, home, (z & {H.SLOTS - 1})::BIGINT AS slot, (z - home - {H.SLOTS})::BIGINT AS extra FROM ({_sql_laps(keys, parts)}) WHERE lap = 1"
+
+
+_BUILD = "SELECT o_orderkey AS lvalue FROM orders WHERE o_orderstatus = 'F' AND o_orderkey <> 0"
+_TABLES = "(SELECT CASE WHEN count(*) < {0} THEN 1 ELSE 1 << length(bin(count(*) // {0})) END FROM ({1}))".format(partition.FILL, _BUILD)
+
+
+def _tables(build: DataFrame) -> int:
+    return probing.tables_for(nonzero(build).count())
+
+
+add("hash_slots", _sql_slots(_BUILD, _TABLES))(lambda s, d: probing.slots(failed_orders(s, d), _tables(failed_orders(s, d))))
+add(
+    "hash_probe_cost",
+    f"""WITH laps AS MATERIALIZED ({_sql_laps(_BUILD, _TABLES)}),
+    runs AS (SELECT part, z, z - row_number() OVER (PARTITION BY part ORDER BY z) AS run FROM laps),
+    taken AS (SELECT part, z - {H.SLOTS} AS home, last + 1 - z AS miss FROM (SELECT *, max(z) OVER (PARTITION BY part, run) AS last FROM runs) WHERE z BETWEEN {H.SLOTS} AND {2 * H.SLOTS - 1}),
+    found AS (SELECT lvalue, z - home - {H.SLOTS} AS extra FROM laps WHERE lap = 1),
+    asked AS ({_sql_homes('SELECT l_orderkey AS lvalue FROM lineitem WHERE l_orderkey <> 0', _TABLES)})
+    SELECT part, count(*) AS probed, count(extra) AS hits, coalesce(sum(extra), 0)::BIGINT AS hit_extra, count(*) - count(extra) AS empty,
+           coalesce(sum(CASE WHEN extra IS NULL THEN coalesce(miss, 0) END), 0)::BIGINT AS empty_extra
+    FROM asked LEFT JOIN found USING (lvalue) LEFT JOIN taken USING (part, home) GROUP BY part""",
+)(lambda s, d: probing.probes(failed_orders(s, d), sides(s, d)[1], _tables(failed_orders(s, d))))
+
+
+# Named blocks, bucketed tables, streams
+_blocks = itertools.count()
+
+
+@add("store_retrieve", "SELECT o_orderkey AS lvalue, o_custkey AS rvalue FROM orders")
+def _store(s: SparkSession, d: str) -> DataFrame:
+    name = f"kvjoin_block_{next(_blocks)}"
+    blocks.store(sides(s, d)[0], name)
+    out = blocks.retrieve(s, name)
+    blocks.free(s, name)
+    return out
+
+
+@add("join_bucketed", _sql_join(""))
+def _bucketed(s: SparkSession, d: str) -> DataFrame:
+    paths = [blocks.shared_path(s, f"kvjoin_{x}") for x in ("left", "right")]
+    n = int(s.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (blocks.write_bucketed(df, p.rsplit("/", 1)[1], n, path=p) for df, p in zip(sides(s, d), paths, strict=True))
+    return joins.join(left, right, "smj")
+
+
+@add("probe_stream", _sql_join(""))
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    left, right = sides(s, d)
+    lines = table(s, d, "lineitem")
+    stream = s.readStream.schema(lines.schema).parquet(f"{d}/lineitem.parque[t]")  # a stream wants a folder or a pattern
+    return run_probe(left, relation(stream, "l_orderkey", "l_partkey"), blocks.shared_path(s, "kvjoin_stream"))
+
+
 @add("join_chain", "SELECT c_nationkey::BIGINT AS lvalue, l_partkey AS rvalue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderkey <> 0 AND c_custkey <> 0")
 def _chain(s: SparkSession, d: str) -> DataFrame:
     first = joins.join(*sides(s, d), "smj")  # (customer, part)
@@ -380,6 +449,11 @@ add("hash_bench", f"SELECT count(*) AS n_slots, sum(n)::BIGINT AS n_keys, sum(n
     lambda s, d: rel(s, d, "orders", "o_orderkey", "o_custkey").where("lvalue BETWEEN 1 AND 2048").groupBy(H.h_join(F.col("lvalue")).bitwiseAND(F.lit(H.SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     .agg(F.count(F.lit(1)).alias("n_slots"), F.sum("n").alias("n_keys"), F.sum(F.col("n") - 1).alias("n_collisions"), F.max("n").alias("most"))
 )
+_BENCH = "SELECT o_orderkey AS lvalue FROM orders WHERE o_orderkey BETWEEN 1 AND 2048"
+add("hash_bench_misses", f"SELECT count(*) AS n_keys, {H.SLOTS} - count(*) AS n_empty, sum(extra)::BIGINT AS n_misses FROM ({_sql_slots(_BENCH, '1')})")(
+    lambda s, d: probing.slots(rel(s, d, "orders", "o_orderkey", "o_custkey").where("lvalue BETWEEN 1 AND 2048"), 1)
+    .agg(F.count(F.lit(1)).alias("n_keys"), (F.lit(H.SLOTS) - F.count(F.lit(1))).alias("n_empty"), F.sum("extra").alias("n_misses"))
+)
 
 
 def queries() -> dict[str, Query]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvjoin.relation import bounds, bucket, checked, nonzero, valid_key
+from kvjoin.relation import bounds, bucket, checked, valid_key
 
 ALGORITHMS = ("phj", "smj", "nl", "nphj", "mpsm")
 #: Rows up to which the build side is broadcast, and the product of rows up to which a nested loop is run; beyond, the sort-merge join.
@@ -90,10 +90,10 @@ def finish(result: DataFrame) -> DataFrame:
 
 
 def theta(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-    """Nested loop over a condition on rk, rv, sk, sv, for small sides; equality conditions still use a hash."""
-    if nonzero(left).count() * nonzero(right).count() > LOOP_PAIRS:
-        raise ValueError("too many pairs for a nested loop")
+    """Nested loop over a condition on rk, rv, sk, sv; equality conditions still use a hash. left is broadcast if it has at most BROADCAST_ROWS rows (counted at once), else pairs of partitions meet; its work is the product of the sides."""
     r, s = _sides(left, right, 0)
+    if left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        r = F.broadcast(r)
     return r.join(s, F.expr(condition)).select(F.col("rv").alias("lvalue"), F.col("sv").alias("rvalue"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kvjoin.relation import relation
@@ -37,7 +40,18 @@ def free(spark: SparkSession, name: str) -> None:
     spark.catalog.dropTempView(name)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "lvalue") -> DataFrame:
-    """Save df as a table bucketed and sorted by key: joins of tables with as many buckets need no exchange."""
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def shared_path(spark: SparkSession, stem: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share; in local mode without that setting, in a temp folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="kvjoin-")
+    return f"{at}/{stem}_{uuid.uuid4().hex}"
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "lvalue", path: str | None = None) -> DataFrame:
+    """Save df as a table bucketed and sorted by key: joins of tables with as many buckets need no exchange. path: where its files go, else the warehouse."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)

@@ -13,3 +13,10 @@ def probe_stream(build: DataFrame, stream: DataFrame, reserved: int | None = 0)
     r = build.where(valid_key(F.col("lvalue"), reserved)).select(F.col("lvalue").alias("rk"), F.col("rvalue").alias("rv"))
     s = stream.where(valid_key(F.col("lvalue"), reserved)).select(F.col("lvalue").alias("sk"), F.col("rvalue").alias("sv"))
     return s.join(r, F.col("rk") == F.col("sk")).select(F.col("rv").alias("lvalue"), F.col("sv").alias("rvalue"))
+
+
+def run_probe(build: DataFrame, stream: DataFrame, out: str, reserved: int | None = 0) -> DataFrame:
+    """Probe with all that the stream has now, into Parquet files at out (each batch exactly once, whatever executors are lost), and the result."""
+    held = probe_stream(build, stream, reserved)
+    held.writeStream.format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
+    return build.sparkSession.read.schema(held.schema).parquet(out)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kvjoin.operators import joins
+from kvjoin.operators import joins, probing
 from kvjoin.relation import checked, nonzero, padding, violations
 
 SCHEMA = "lvalue long, rvalue long"
@@ -127,3 +127,53 @@ def test_mpsm_keeps_its_ranges(spark):
 def test_free_of_an_unknown_relation(spark):
     with pytest.raises(ValueError):
         joins.JoinInstance(spark).free("left")
+
+
+def brute_table(keyed, size):
+    """Insert as probing.slots orders keys: {slot: key}, by walking the ring."""
+    at = {}
+    for home, key in sorted(keyed):
+        while home in at:
+            home = (home + 1) % size
+        at[home] = key
+    return at
+
+
+@pytest.mark.parametrize("n", [3, 1500, 3900])
+def test_linear_probing(spark, n):
+    """Against a table walked slot by slot. What is taken and all probes together don't depend on the order of insertion."""
+    build = spark.range(1, 3 * n, 3).selectExpr("id AS lvalue", "id AS rvalue").union(spark.createDataFrame([(0, 1), (None, 2), (1, 3)], "lvalue long, rvalue long"))
+    probe = spark.createDataFrame([(k, k) for k in (1, 1, 2, 4, 5, 0, 999_999, 123_457, 4096, 8192)], "lvalue long, rvalue long").union(spark.range(3 * n).selectExpr("id", "id"))
+    got = probing.slots(build, 1).collect()
+    table = brute_table([(r["home"], r["lvalue"]) for r in got], probing.SLOTS)
+    assert len(got) == n and {r["slot"] for r in got} == set(table)
+    assert sum(r["extra"] for r in got) == sum((s - {r["lvalue"]: r["home"] for r in got}[k]) % probing.SLOTS for s, k in table.items())
+    hits = misses = extra = 0
+    keys = {r["lvalue"]: r["extra"] for r in got}
+    asked = [(r["lvalue"], r["home"]) for r in probing.homes(probe, 1).collect()]
+    for key, home in asked:
+        if key in keys:
+            hits += keys[key]
+            continue
+        misses += 1
+        while home in table:
+            home, extra = (home + 1) % probing.SLOTS, extra + 1
+    row = probing.probes(build, probe, 1).first()
+    assert (row["probed"], row["hits"], row["hit_extra"], row["empty"], row["empty_extra"]) == (len(asked), len(asked) - misses, hits, misses, extra)
+
+
+def test_linear_probing_limits(spark):
+    none = spark.range(0).selectExpr("id AS lvalue", "id AS rvalue")
+    some = spark.range(1, 6).selectExpr("id AS lvalue", "id AS rvalue")
+    assert probing.slots(none, 1).count() == 0 and probing.probes(some, none, 1).count() == 0
+    assert probing.probes(none, some, 1).first()["empty"] == 5
+    with pytest.raises(Exception, match="no empty slot"):
+        probing.slots(spark.range(1, probing.SLOTS + 1).selectExpr("id AS lvalue"), 1).collect()
+    assert [probing.tables_for(n) for n in (0, 1934, 1935, 3870)] == [1, 1, 2, 4]
+
+
+def test_theta_beyond_the_broadcast(spark, monkeypatch):
+    a = spark.range(1, 40).selectExpr("id AS lvalue", "id AS rvalue")
+    want = sorted(map(tuple, joins.theta(a, a, "rk < sk").collect()))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, joins.theta(a, a, "rk < sk").collect())) == want and len(want) == 39 * 38 // 2
