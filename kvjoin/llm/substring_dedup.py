@@ -9,9 +9,10 @@ starts in a document with a smaller id.
    left out without loss. Equal whole texts count as one text here.
 2. suffixes: those suffixes, WINDOW words deep, are dealt out by a prefix whose length
    varies: as many words as it takes for the estimated number of suffixes with
-   that prefix (from word counts over all documents) to fit a memory-sized group. There are as many
-   groups as the words need; a task gets its groups sorted and holds one at a time.
-3. trees: each group's suffix tree, cut at WINDOW words, is built as sorted suffixes
+   that prefix (from word counts over all documents, with room for runs of words that are CLUSTERED times as
+   frequent as their words alone say) to fit a memory-sized group. There are as many
+   groups as the words need, each of many prefixes; a task gets its groups sorted and holds one at a time.
+3. trees: each group's suffix trees, cut at WINDOW words, are built as sorted suffixes
    with their longest common prefixes; inner nodes as deep as WINDOW are the
    repeats, and their leaves in other than the smallest document are removed.
    The same tree first runs within each map task as a combiner, so that a passage
@@ -39,6 +40,8 @@ from .textstats import as_bytes, window_hashes, word_hashes
 WINDOW, PART = 13, 7
 #: Suffixes of a memory-sized group (about 60 bytes each), and words after which a map task closes a block.
 GROUP, BLOCK_WORDS = 1_000_000, 3_000_000
+#: Copies make long runs of words this much more frequent than independent words would be.
+CLUSTERED = 1e6
 #: Words of all documents for which there is one group of anchors or suffixes.
 GROUP_WORDS = 2_000_000
 SKETCH = 4096
@@ -253,12 +256,12 @@ def repeated_anchors(docs: DataFrame, groups: Groups, window: int = WINDOW, part
 
 
 class Prefixes:
-    """Which group a suffix belongs to: the shortest prefix whose estimated number of suffixes is GROUP at most."""
+    """Which prefix a suffix belongs to: the shortest one whose estimated number of suffixes is GROUP at most, even if it is CLUSTERED times as frequent as independent words."""
 
-    def __init__(self, counts: np.ndarray, group: int = GROUP):
+    def __init__(self, counts: np.ndarray):
         total = max(int(counts.sum()), 1)
         self.share = np.log(np.maximum(counts, 1) / total)
-        self.room = np.log(group / total)
+        self.room = np.log(GROUP / total / CLUSTERED)
 
     def group(self, suffixes: np.ndarray) -> np.ndarray:
         """Hash of the prefix and its length. suffixes: (n, WINDOW), the low bits of the words' hashes."""
@@ -371,11 +374,7 @@ def later_repeats(docs: DataFrame, prefixes: Prefixes, groups: Groups) -> DataFr
                     ats.append(both[:, 1])
             if ss:
                 s, c, d, at = map(np.concatenate, (ss, cs, ds, ats))
-                found = []
-                for _, r in _by(prefixes.group(s).view(np.int64)):  # a subtree for each prefix
-                    later, _ = repeats(s[r], c[r], d[r, 0])
-                    found.append(r[later])
-                later = np.concatenate(found)
+                later, _ = repeats(s, c, d[:, 0])  # sorted together, the subtrees of the prefixes lie one after the other
                 out += _removed(d[later, 0], d[later, 1], at[later])
             yield from _packed(out, groups)
 
