@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvjoin.relation import bounds, bucket, checked, valid_key
+from kvjoin.relation import bounds, checked, valid_key, with_bucket
 
 ALGORITHMS = ("phj", "smj", "nl", "nphj", "mpsm")
 #: Rows up to which the build side is broadcast, and the product of rows up to which a nested loop is run; beyond, the sort-merge join.
@@ -62,7 +62,7 @@ def ranges(r: DataFrame, s: DataFrame, build: str = "rk", probe: str = "sk") ->
     """Both sides with the range of their key (rb, sb), dealt out by it: one set of bounds, from the build keys, cuts both, so the merge join needs no further exchange."""
     n = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = bounds(r, [build], n)
-    return r.withColumn("rb", bucket(r, [build], cuts)).repartition(n, "rb"), s.withColumn("sb", bucket(s, [probe], cuts)).repartition(n, "sb")
+    return with_bucket(r, [build], cuts, "rb").repartition(n, "rb"), with_bucket(s, [probe], cuts, "sb").repartition(n, "sb")
 
 
 def probe(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ Parquet scan as pushed filters.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,30 +84,44 @@ def _keys(order: list[str]) -> list[Column]:
     return [F.col(x[1:]).desc() if x.startswith("-") else F.col(x).asc() for x in order]
 
 
-def bucket(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
-    """How many of the cuts (from bounds()) come before the row: a binary search, written as one expression."""
+def _after(df: DataFrame, order: list[str], cuts: list[tuple]) -> Callable[[Column], Column]:
+    """Of a place among the cuts: does the row come after that cut? Nulls as Spark sorts them. The cuts are constant arrays, one for each order column."""
     kinds = [dict(df.dtypes)[x.removeprefix("-")] for x in order]
-
-    def after(cut: tuple) -> str:
-        out = "false"
-        for x, kind, v in reversed(list(zip(order, kinds, cut, strict=True))):
-            c = "`" + x.removeprefix("-").replace("`", "``") + "`"
-            quoted = None if v is None else v.replace("\\", "\\\\").replace("'", "\\'")
-            b = f"CAST(NULL AS {kind})" if v is None else f"CAST('{quoted}' AS {kind})"
-            if x.startswith("-"):
-                later = "false" if v is None else f"({c} < {b} OR {c} IS NULL)"
-            else:
-                later = f"{c} IS NOT NULL" if v is None else f"{c} > {b}"
-            out = later if out == "false" else f"({later} OR {c} <=> {b} AND {out})"
+    arrays = [F.from_json(F.lit(json.dumps([c[i] for c in cuts])), "array<string>").cast(f"array<{kind}>") for i, kind in enumerate(kinds)]
+
+    def after(at: Column) -> Column:
+        out = F.lit(False)
+        for x, a in reversed(list(zip(order, arrays, strict=True))):
+            c, v = F.col("`" + x.removeprefix("-").replace("`", "``") + "`"), F.get(a, at)
+            beyond = (c < v) | (c.isNull() & v.isNotNull()) if x.startswith("-") else (c > v) | (c.isNotNull() & v.isNull())
+            out = F.coalesce(beyond, F.lit(False)) | (c.eqNullSafe(v) & out)
         return out
 
-    def search(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        middle = (low + high) // 2
-        return f"IF({after(cuts[middle])}, {search(middle + 1, high)}, {search(low, middle)})"
+    return after
+
+
+def _halving(cuts: list[tuple], after: Callable[[Column], Column], low: Column, step: Column) -> Column:
+    return F.when((low + step <= len(cuts)) & after(low + step - 1), low + step).otherwise(low)
+
+
+def _steps(cuts: list[tuple]) -> list[int]:
+    return [1 << k for k in reversed(range(len(cuts).bit_length()))]
+
+
+def bucket(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
+    """How many of the cuts (from bounds()) come before the row, as one column, which no code is generated for; with_bucket() is several times faster."""
+    after = _after(df, order, cuts)
+    return F.aggregate(F.array(*map(F.lit, _steps(cuts))).cast("array<int>"), F.lit(0), lambda low, step: _halving(cuts, after, low, step))
+
 
-    return F.expr(search(0, len(cuts)))
+def with_bucket(df: DataFrame, order: list[str], cuts: list[tuple], name: str) -> DataFrame:
+    """df with the number of cuts that come before the row: a projection for each halving of a binary search. One expression for all of it
+    would grow with the cuts, until its generated code is too long for the JVM to compile. The generator at the end keeps rules that follow a
+    join's key down the plan from putting the projections into one another, which takes time exponential in their number."""
+    after, out = _after(df, order, cuts), df.withColumn(name, F.lit(0))
+    for step in _steps(cuts):
+        out = out.withColumn(name, _halving(cuts, after, F.col(name), F.lit(step)))
+    return out.withColumn(name, F.explode(F.array(name)))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "pos", buckets: int | None = None) -> DataFrame:
@@ -119,7 +136,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "pos", buckets: int |
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(n, min(8 * n, 1024))
     b, n, o, r = ("_bucket", "_rows", "_offset", "_row")
-    held = df.withColumn(b, bucket(df, order, bounds(df, order, buckets)))
+    held = with_bucket(df, order, bounds(df, order, buckets), b)
     sizes = held.groupBy(b).agg(F.count(F.lit(1)).alias(n))
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(b, F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long").alias(o))

@@ -1,11 +1,13 @@
 """Invariants of partitioning, sorts, selections, projections, group-bys and plans."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kvjoin.operators import aggregates, partition, projections, selections, sorts
 from kvjoin.plans.steps import PlanError, run_plan
-from kvjoin.relation import bounds, bucket, numbered, placed
+from kvjoin.relation import bounds, bucket, numbered, placed, with_bucket
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +121,43 @@ def test_numbered_parts_the_order_evenly(spark):
             got = [r["id"] for r in numbered(df, order).orderBy("pos").collect()]
             assert got == [r["id"] for r in df.orderBy(*keys).collect()]
     assert numbered(names, ["t", "id"]).agg(F.countDistinct("pos"), F.min("pos"), F.max("pos")).first()[:] == (20000, 0, 19999)
+
+
+def test_buckets_by_brute_force(spark):
+    """Nulls first going up and last going down, quotes in strings, times, fewer cuts than a power of two, none at all."""
+    import datetime
+
+    rng = random.Random(8)
+    day = datetime.datetime(2020, 1, 1, 12, 30, 0, 5)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a'b", 'q"\\', "é", ""]), rng.choice([None, day, day + datetime.timedelta(days=1)]), rng.choice([None, -1.5, 0.1, 7.25])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "`a.b` long, s string, t timestamp, f double").withColumnRenamed("a.b", "k").repartition(3)
+    for order in (["k", "s"], ["-k", "s", "-t"], ["-s"], ["t", "-f", "k"], ["f"]):
+        names = ["k", "s", "t", "f"]
+        for n in (1, 2, 6, 40):
+            cuts = bounds(df, order, n)
+            got = with_bucket(df, order, cuts, "b").withColumn("c", bucket(df, order, cuts)).collect()
+            assert all(r["b"] == r["c"] for r in got) and (n == 1) <= ({r["b"] for r in got} == {0})
+
+            def place(r):
+                out = []
+                for x in order:
+                    v = r[names.index(x.removeprefix("-"))]
+                    v = (0,) if v is None else (1, v.encode() if isinstance(v, str) else v)
+                    out.append(Down(v) if x.startswith("-") else v)
+                return out
+
+            ranked = sorted(got, key=place)
+            assert [r["b"] for r in ranked] == sorted(r["b"] for r in got)
+            for a, b in zip(ranked, ranked[1:]):
+                assert a["b"] == b["b"] or place(a) < place(b)
+
+
+class Down:
+    def __init__(self, v):
+        self.v = v
+
+    def __lt__(self, other):
+        return other.v < self.v
+
+    def __eq__(self, other):
+        return self.v == other.v
