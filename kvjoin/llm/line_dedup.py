@@ -108,7 +108,10 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_
 
 
 def report(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """One row per document: doc_id, n_lines (counted), n_removed, kept_sha256 (of the text that dedup() gives; null counts as empty)."""
+    """One row per document: doc_id, n_lines (counted), n_removed, kept_sha256 (of the text that dedup() gives; null counts as empty).
+
+    Null ids, repeated rows and long texts as in dedup(). An empty table gives an empty one; only doc_id and text are read.
+    """
     docs = texts(docs)
     joined, kept, n = _with_kept(docs, min_run, "doc_id", "text")
     text = F.when(F.col(kept).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))

@@ -69,7 +69,7 @@ def mix(
 
     A null source is a source of its own (with weights given, of weight 0). Rows with a null
     id share the hash of the empty string, and rows with equal ids their count. Null or empty
-    texts are mixed like others. An empty table gives an empty one. Clashing column names are kept.
+    texts are mixed like others, and very long ones, which only pass through. An empty table gives an empty one. Clashing column names are kept.
     """
     per, entries = rates(docs, source_col, weights, alpha, total)
     q = quantiles(per).select(F.col("s").alias(s := fresh(docs, "mix_source")), F.col("rate").alias(r := fresh(docs, "mix_rate")), F.col("cdf").alias(c := fresh(docs, "mix_cdf")))

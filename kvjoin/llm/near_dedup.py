@@ -309,7 +309,8 @@ def report(docs: DataFrame) -> DataFrame:
 
     Texts without words (null, empty, white space) have no near copies: each is a class of its own.
     Equal texts are of one class. A null id is never the smallest unless all of a class are null.
-    Repeated rows each get their row. An empty table gives an empty one.
+    Repeated rows each get their row. Whole texts are compared, however long. An empty table gives an empty one;
+    only doc_id and text are read, so other columns can't clash.
     """
     nodes = _nodes(texts(docs))
     label = classes(nodes)
@@ -323,7 +324,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each class: that with the smallest id (and of its texts the smallest hash), one row of it."""
+    """docs, all columns, with one document of each class: that with the smallest id (and of its texts the smallest hash), one row of it.
+
+    A null id comes after all others. Texts without words (null, empty, white space) stay, every row of them. Whole texts
+    are compared, however long. An empty table gives an empty one; other columns pass through whatever their names.
+    """
     nodes = _nodes(texts(docs, id_col, text_col))
     named = hot_join(nodes.select("doc_id", "node"), classes(nodes), ["node"], "left").where("node IS NOT NULL").select("doc_id", "node", F.coalesce("label", "node").alias("cls"))
     named = materialize(named)
