@@ -193,7 +193,7 @@ _STATS = f"SELECT count(*) AS probed, count(*) FILTER (WHERE s.k IN (SELECT k FR
 add("probe_stats", _STATS)(lambda s, d: joins.probe_stats(failed_orders(s, d), sides(s, d)[1]))
 add("smj_inplace", f"SELECT coalesce(r.v, s.k) AS lvalue, s.v AS rvalue FROM {_L1} s LEFT JOIN {_F} r USING (k)")(lambda s, d: joins.in_place(failed_orders(s, d), sides(s, d)[1]))
 add("finish_join", f"SELECT * FROM ({_sql_join('_nation_customer')})")(
-    lambda s, d: joins.finish(joins.join(*sides(s, d, "_nation_customer")).union(s.range(BANKS).selectExpr("0L AS lvalue", "0L AS rvalue")))
+    lambda s, d: joins.finish(joins.padded(joins.join(*sides(s, d, "_nation_customer")), BANKS))
 )
 
 

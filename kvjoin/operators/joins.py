@@ -84,9 +84,18 @@ def in_place(left: DataFrame, right: DataFrame) -> DataFrame:
     return s.join(r, F.col("rk") == F.col("sk"), "left").select(F.coalesce("rv", "sk").alias("lvalue"), F.col("sv").alias("rvalue"))
 
 
+def padded(result: DataFrame, tuples: int) -> DataFrame:
+    """A dumped result: its rows and so many zero tuples as padding. A result can have pairs of zeros of its own, so effective says which rows are the result's."""
+    pad = result.sparkSession.range(tuples).selectExpr("0L AS lvalue", "0L AS rvalue", "false AS effective")
+    return result.select("lvalue", "rvalue", F.lit(True).alias("effective")).union(pad)
+
+
 def finish(result: DataFrame) -> DataFrame:
-    """Without the zero tuples that pad a dumped result."""
-    return result.where(~((F.col("lvalue") == 0) & (F.col("rvalue") == 0)))
+    """Without the zero tuples that pad a dumped result: of padded(), the effective rows, whatever their values. A bare
+    dump does not tell padding from pairs of zeros that matched, so it loses both; rows with a null stay."""
+    if "effective" in result.columns:
+        return result.where("effective").drop("effective")
+    return result.where(~(F.col("lvalue").eqNullSafe(0) & F.col("rvalue").eqNullSafe(0)))
 
 
 def theta(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:

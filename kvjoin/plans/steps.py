@@ -22,6 +22,7 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "join": lambda left, right, algorithm="phj": joins.join(left, right, algorithm),
     "join_in_place": joins.in_place,
     "probe_stats": joins.probe_stats,
+    "pad": joins.padded,
     "finish": joins.finish,
     "sort": lambda df, algorithm="quick": sorts.sort(df, algorithm),
     "union": lambda a, b: a.union(b),

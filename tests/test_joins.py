@@ -1,11 +1,15 @@
 """Edge relations and invariants of the joins."""
 
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kvjoin import catalog
 from kvjoin.operators import joins, probing
+from kvjoin.plans.steps import run_plan
 from kvjoin.relation import checked, nonzero, padding, violations
 
 SCHEMA = "lvalue long, rvalue long"
@@ -85,6 +89,31 @@ def test_finish_and_violations(spark):
     assert got == {0: "reserved", -1: "negative", 2**31: "too large", None: "null"}
 
 
+def test_finish_keeps_zeros_and_nulls_of_the_result(spark):
+    """Only padding goes, not pairs of zeros that matched, copies of them, or rows with a null."""
+    held = [(0, 0), (0, 0), (0, 3), (None, 0), (0, None), (None, None)]
+    for n in (0, 1, 64):
+        dump = joins.padded(rel(spark, *held), n)
+        assert dump.count() == len(held) + n
+        assert Counter(map(tuple, joins.finish(dump).collect())) == Counter(held)
+    plan = [{"operator": "pad", "inputs": ["j"], "output": "p", "tuples": 5}, {"operator": "finish", "inputs": ["p"]}]
+    assert Counter(map(tuple, run_plan(plan, {"j": rel(spark, *held)}).collect())) == Counter(held)
+    assert Counter(map(tuple, joins.finish(rel(spark, *held)).collect())) == Counter(held[2:])  # a bare dump
+
+
+def test_finish_join_is_its_sql_on_zeros_and_nulls(spark, tmp_path):
+    """Customer 0 in a nation of region 0, keys that are null, a nation without a region."""
+    nation, customer = [(0, 0), (5, 0), (6, None), (None, 0)], [(0, 5), (0, 5), (0, 0), (1, 5), (None, 5), (0, 6), (None, 6), (2, None), (3, 7)]
+    spark.createDataFrame(nation, "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame(customer, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("nation", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = Counter(con.sql(catalog.oracle_sql()["finish_join"]).fetchall())
+    assert want == Counter([(0, 0), (0, 0), (0, 1), (0, None), (None, 0), (None, None)])
+    assert Counter(map(tuple, catalog.queries()["finish_join"](spark, str(tmp_path)).collect())) == want
+
+
 @pytest.mark.parametrize("n,ranks,want", [(12002342, 16, (986, 11722)), (52428800, 1, (64, 819201)), (33554432, 16, (1024, 32769)), (2352363, 2, (21, 18378)), (200000, 1, (64, 3126)), (15000, 1, (40, 235))])
 def test_padding(n, ranks, want):
     assert padding(n, ranks) == want
